@@ -53,8 +53,6 @@ _SPAN = "struct<start:int,stop:int,token:string,context:string>"
 def _matches(text: Column, pattern: str, need: str) -> Column:
     """array<struct<start, stop, token, context>> of all matches, in order."""
     empty = F.expr(f"cast(array() as array<{_SPAN}>)")
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
     before = lambda piece: F.lower(F.trim(F.regexp_replace(F.substring(piece, -CONTEXT, CONTEXT), r"(?U)[^\p{L}\n]+", " ")))
     last = lambda piece: F.regexp_extract(before(piece), r"((?:[^ \n]+ )?[^ \n]+)$", 1)
 
@@ -64,7 +62,9 @@ def _matches(text: Column, pattern: str, need: str) -> Column:
         span = F.struct(start.alias("start"), stop.alias("stop"), pair["match"].alias("token"), last(pair["piece"]).alias("context"))
         return F.struct(stop.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    pairs = F.zip_with(found, F.slice(pieces, F.lit(1), F.greatest(F.lit(0), F.size(pieces) - 1)), lambda m, p: F.struct(m.alias("match"), p.alias("piece")))
+    # The last piece has no match after it; zip_with pads it with null.
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, p: F.struct(m.alias("match"), p.alias("piece")))
+    pairs = F.filter(pairs, lambda x: x["match"].isNotNull())
     spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)["spans"]
     wanted = text.contains(need) if len(need) == 1 else text.rlike(need)
     return F.when(wanted, spans).otherwise(empty)
