@@ -224,3 +224,40 @@ def family_name(t):
 @query("x19_x27_name_hints", r"SELECT page_id, regexp_extract(url, '/([a-z]{2})/', 1) AS lang, TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS INTEGER) AS number FROM pages")
 def name_hints(t):
     return t.pages.select("page_id", F.regexp_extract("url", "/([a-z]{2})/", 1).alias("lang"), F.regexp_extract("url", "/([0-9]+)", 1).try_cast("int").alias("number"))
+
+
+@query("s01_s02_discovery")
+def discovery(t):
+    """Files of a folder of texts: written from the benchmark table, found, decoded."""
+    from glosswork.streaming.events import scratch
+
+    folder = scratch(t.spark, "texts")
+    t.benchmark.select("text").coalesce(1).write.text(folder, lineSep="\n\n")
+    found = files.decode(files.discover(t.spark, folder))
+    return found.groupBy("extension", "error").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("s07_s08_s11_json_lines", "SELECT conv_id, turn, role, sha256(text) AS digest FROM conversations")
+def json_lines(t):
+    from glosswork.streaming.events import scratch
+
+    path = scratch(t.spark, "lines") + ".jsonl"
+    files.write_json_lines(t.conversations, path)
+    back = files.read_any(t.spark, path, "conv_id long, turn long, role string, text string")
+    return back.select("conv_id", "turn", "role", F.sha2("text", 256).alias("digest"))
+
+
+@query("s09_csv", "SELECT conv_id, turn, role, length(text) AS n_chars FROM conversations")
+def csv(t):
+    from glosswork.streaming.events import scratch
+
+    path = scratch(t.spark, "table") + ".csv"
+    files.write_csv(t.conversations, path)
+    back = files.read_any(t.spark, path, "conv_id long, role string, text string, turn long")
+    return back.select("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("s12_s13_s17_envelope", "SELECT count(*) AS n, count(*) - count(DISTINCT item_id) AS duplicates, 'FULL' AS status FROM benchmark")
+def envelope(t):
+    n = t.benchmark.count()
+    return files.envelope_checks(t.benchmark, "item_id", n).select("n", "duplicates", "status")

@@ -374,3 +374,12 @@ def case_runner(t):
     return _turns(t).select(
         "conv_id", "turn", T.rouge_l()(a, p).alias("rouge_l"), T.token_recall(p, a).alias("recall"), s["f1"].alias("claims_f1"), E.status(s["f1"], F.size(T.typed_claims(p)) > 0).alias("claims_status"), c["faithfulness"].alias("faithfulness"), F.size(E.polarity_conflicts(p, a)).alias("conflicts")
     )
+
+
+@query("f24_citation_scores", """
+WITH s AS (SELECT o_custkey, list_distinct(array_agg(CAST(o_orderkey % 7 AS INTEGER))) AS cited FROM orders GROUP BY 1)
+SELECT o_custkey, round((len(cited) - len(list_intersect(cited, [0, 1, 2, 3]))) / len(cited), 9) AS invented, round(len(list_intersect(cited, [1, 5])) / 2, 9) AS recall FROM s""")
+def citation_scores(t):
+    s = t.orders.groupBy("o_custkey").agg(F.collect_set((F.col("o_orderkey") % 7).cast("int")).alias("cited"))
+    m = E.citation_scores(F.col("cited"), F.array(*map(F.lit, range(4))), F.array(F.lit(1), F.lit(5)))
+    return s.select("o_custkey", F.round(m["invented"], 9).alias("invented"), F.round(m["recall"], 9).alias("recall"))

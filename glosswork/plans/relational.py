@@ -502,3 +502,8 @@ SELECT count(*) AS kept FROM events, (SELECT max(ts) AS m FROM events) WHERE ts
 def expired_delete(t):
     now = t.events.agg(F.max("ts").alias("m"))
     return t.events.join(F.broadcast(now)).where(F.col("ts") >= F.col("m") - F.expr("interval 24 hours")).agg(F.count("*").alias("kept"))
+
+
+@query("w06_first_occurrence", "SELECT o_custkey, o_orderpriority, min(o_orderkey) AS first_key FROM orders GROUP BY ALL")
+def first_occurrence(t):
+    return t.orders.groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("first_key"))

@@ -212,3 +212,10 @@ def rag_retrieval(t):
     blocks = selected.withColumn("bytes", F.lit(400) + F.col("vec_id") % 97).withColumn("tokens", F.ceil(F.col("bytes") / 4))
     packed = V.budget_pack(blocks, "query_id", "rank", 2048, 600)
     return selected.join(packed, "query_id").where(F.array_contains("picked", F.col("rank").cast("long"))).select("query_id", "vec_id", "rank", V.citation(F.col("context_rank")).alias("citation"))
+
+
+@query("f04_cosine", """
+SELECT e.vec_id, round(greatest(least(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 1.0), 0.0), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q""")
+def cosine_to_one(t):
+    one = t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q"))
+    return t.embeddings.join(F.broadcast(one)).select("vec_id", F.round(V.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
