@@ -15,15 +15,26 @@ from pyspark.sql import functions as F
 from glosswork.llm.common import materialize
 
 
+def _apart(links: DataFrame, least: DataFrame) -> DataFrame:
+    """links with the least neighbour of their hi.
+
+    The key of the second side is written so that Spark doesn't take the sums'
+    partitioning for the join's: both sides are then dealt for the join alone,
+    and a node with very many links is a skewed partition that Spark may split.
+    """
+    key = F.bitwise_not(F.bitwise_not(F.col("hi"))).alias("_hi")
+    return links.join(least.select(key, "least"), F.col("hi") == F.col("_hi"))
+
+
 def _large(links: DataFrame) -> DataFrame:
     both = links.select("hi", "lo").unionByName(links.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
     least = both.groupBy("hi").agg(F.least(F.min("lo"), F.col("hi")).alias("least"))
-    return both.join(least, "hi").where(F.col("lo") > F.col("hi")).select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
+    return _apart(both, least).where(F.col("lo") > F.col("hi")).select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
 
 
 def _small(links: DataFrame) -> DataFrame:
     least = links.groupBy("hi").agg(F.min("lo").alias("least"))
-    met = links.join(least, "hi").where(F.col("lo") != F.col("least")).select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
+    met = _apart(links, least).where(F.col("lo") != F.col("least")).select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
     # least is a far smaller table, so its rows join the others before the one exchange of distinct.
     return met.unionByName(least.select("hi", F.col("least").alias("lo"))).where("hi <> lo").distinct()
 
