@@ -143,9 +143,13 @@ def digest(rows: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs that name their group: one document of each stays."""
+    """The rows of docs that name their group: one document of each stays.
+
+    Rows without an id stay, since nothing can name them; rows that share the
+    id that stays stay together.
+    """
     firsts = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(firsts, docs["doc_id"] == F.col("_first"), "left_semi")
+    return docs.where("doc_id is not null").join(firsts, F.col("doc_id") == F.col("_first"), "left_semi").unionByName(docs.where("doc_id is null"))
 
 
 def query(spark, sf_dir):
