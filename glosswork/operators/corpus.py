@@ -88,18 +88,22 @@ def contained(docs: DataFrame, passages: DataFrame, key: str, text: str, item: s
     Candidates come from an equi-join: a passage names its rarest window of
     words (by hash), texts offer their windows, and only pairs that meet are
     compared in full. A passage that is too short for a whole window inside is
-    compared with every text; those are broadcast, being few and short.
+    compared with every text; those are broadcast, being few and short, as the
+    passages are in all (a benchmark, whose size doesn't follow the corpus).
     """
     flat = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
     windows = lambda a: F.transform(F.sequence(F.lit(1), F.size(a) - words + 1), lambda i: F.xxhash64(F.array_join(F.slice(a, i, words), " ")))
     named = passages.select(F.col(item).alias("_item"), F.lower(passage).alias("_p"), flat(F.col(passage)).alias("_w"))
     inner = F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0)))
     keyed = named.where(F.size("_w") >= words + 2).select("_item", "_p", F.array_min(windows(inner)).alias("_h"))
-    own = docs.select(F.col(key).alias("_key"), F.lower(text).alias("_t"), flat(F.col(text)).alias("_w")).where(F.size("_w") >= words)
-    offered = own.select("_key", "_t", F.explode(F.array_distinct(windows(F.col("_w")))).alias("_h"))
-    hits = offered.join(F.broadcast(keyed), "_h").where(F.col("_t").contains(F.col("_p"))).select("_key", "_item")
+    own = docs.select(F.col(key).alias("_key"), flat(F.col(text)).alias("_w")).where(F.size("_w") >= words)
+    offered = own.select("_key", F.explode(windows(F.col("_w"))).alias("_h"))
+    met = offered.join(F.broadcast(keyed.select("_item", "_h")), "_h").select("_key", "_item").distinct()
+    # Only pairs that met are compared; texts don't travel with their windows.
+    texts = docs.select(F.col(key).alias("_key"), F.lower(text).alias("_t"))
+    hits = texts.join(met, "_key").join(F.broadcast(keyed.select("_item", "_p")), "_item").where(F.col("_t").contains(F.col("_p"))).select("_key", "_item")
     short = named.where(F.size("_w") < words + 2).select("_item", "_p")
-    more = docs.select(F.col(key).alias("_key"), F.lower(text).alias("_t")).join(F.broadcast(short), F.col("_t").contains(F.col("_p"))).select("_key", "_item")
+    more = texts.join(F.broadcast(short), F.col("_t").contains(F.col("_p"))).select("_key", "_item")
     return hits.unionByName(more).distinct().select(F.col("_key").alias(key), F.col("_item").alias(item))
 
 
