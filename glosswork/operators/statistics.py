@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glosswork.operators.ranks import running_counts
+
 #: Normal quantile at 97.5 % (a fixed value).
 Z = 1.959963984540054
 
@@ -41,8 +43,8 @@ def rank_percentiles(df: DataFrame, group: str, value: str, ps: Sequence[float])
     wanted positions are then found by running counts over those.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(group)
-    run = counts.withColumn("_hi", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    totals = counts.groupBy(F.col(group).alias("_group")).agg(F.sum("_c").alias("_n"))
+    run = running_counts(counts, group, value, "_c", "_hi").join(totals, F.col(group).eqNullSafe(F.col("_group")))
     wanted = F.array(
         *(
             F.struct(F.lit(p).alias("p"), F.lit(name).alias("kind"), place.cast("long").alias("at"))
@@ -168,9 +170,8 @@ def average_ranks(df: DataFrame, column: str, name: str, group: str | None = Non
     """
     keys = [group, column] if group else [column]
     counts = df.groupBy(*keys).agg(F.count("*").alias("_c"))
-    by = Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))
-    before = F.sum("_c").over(by.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c")
-    ranks = counts.select(*(F.col(k).alias(f"_{k}") for k in keys), (before + (F.col("_c") + 1) / 2).alias(name))
+    upto = running_counts(counts, group, column, "_c", "_upto")
+    ranks = upto.select(*(F.col(k).alias(f"_{k}") for k in keys), (F.col("_upto") - (F.col("_c") - 1) / 2).alias(name))
     on = None
     for k in keys:
         same = F.col(k).eqNullSafe(F.col(f"_{k}"))
