@@ -24,6 +24,8 @@ from glosswork.llm.common import table, text_of
 
 SAMPLE, FOLDS, THRESHOLD = 8000, 5, 0.3
 TREES, DEPTH, LEAF, BINS = 24, 3, 20, 24
+#: Rules that the compiled expression may hold.
+RULES = 48
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -121,8 +123,8 @@ def lasso(z, y, strength: float, steps: int = 400):
     return w / scale, bias - float((w * mean / scale).sum())
 
 
-def fit(x, y, seed: int = 7, trees: int = TREES, strength: float = 1.5e-3):
-    """(rules with weights, bias)."""
+def fit(x, y, seed: int = 7, trees: int = TREES, strength: float = 5e-3, most: int = RULES):
+    """(rules with weights, bias); the lasso is made stronger until at most most rules stay."""
     import numpy as np
 
     if len(y) == 0 or y.min() == y.max():
@@ -130,11 +132,14 @@ def fit(x, y, seed: int = 7, trees: int = TREES, strength: float = 1.5e-3):
         return [], float(np.log(share / (1 - share)))
     rng = np.random.default_rng(seed)
     rules = sorted({r for _ in range(trees) for r in grow(x, y, rng)})
-    z = np.array([applies(x, r) for r in rules], float).T
-    _, first = np.unique(z, axis=1, return_index=True)
-    rules, z = [rules[i] for i in sorted(first)], z[:, sorted(first)]
-    w, bias = lasso(z, y, strength)
-    return [(r, float(c)) for r, c in zip(rules, w, strict=True) if abs(c) > 1e-6], float(bias)
+    rules = list({np.packbits(applies(x, r)).tobytes(): r for r in reversed(rules)}.values())  # one of those that hold for the same rows
+    z = np.array([applies(x, r) for r in rules], np.float32).T
+    while True:
+        w, bias = lasso(z, y, strength)
+        kept = [(r, float(c)) for r, c in zip(rules, w, strict=True) if abs(c) > 1e-6]
+        if len(kept) <= most:
+            return kept, float(bias)
+        strength *= 1.5
 
 
 def compile_rules(rules, bias: float, names: list[str]) -> Column:
@@ -167,7 +172,10 @@ def score(docs: DataFrame, model, carry: bool = False) -> DataFrame:
     rules, bias, names = model
     base = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")) if carry else text_of(docs)
     kept = ["doc_id", *(["_row"] if carry else [])]
-    rows = base.select(*kept, *(c.alias(n) for n, c in zip(names, statistics(F.col("text")).values(), strict=True)))
+    # A generator bounds the rewriting: a filter on the score would else be pushed
+    # below and hold every statistic once for each condition of each rule.
+    stats = F.struct(*(c.alias(n) for n, c in zip(names, statistics(F.col("text")).values(), strict=True)))
+    rows = base.select(*kept, F.inline(F.array(stats)))
     rows = rows.select(*kept, F.coalesce(held_out(), F.lit(False)).alias("held_out"), compile_rules(rules, bias, names).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
