@@ -129,6 +129,7 @@ class PrefixEncoder(Encoder):
         self.right_edge = lru_cache(None)(self._right_edge)
         self.left_edge = lru_cache(None)(self._left_edge)
         self.fits: dict[int, bool] = {}
+        self.pretokens: dict[str, bytes] = {}
 
     def _right_edge(self, token: int) -> list[tuple[int, float]]:
         """Tokens along the right edge of how token was merged, each with the
@@ -187,7 +188,17 @@ class PrefixEncoder(Encoder):
         return ids[::-1]
 
     def _new(self, chunks: list[str]) -> list[bytes]:
-        return [array("I", [i for p in self.find(c) for i in self.encode_pretoken(p)]).tobytes() for c in chunks]
+        if len(self.pretokens) >= CACHE:
+            self.pretokens.clear()
+        return [b"".join(map(self._pretoken, self.find(c))) for c in chunks]
+
+    def _pretoken(self, pretoken: str) -> bytes:
+        found = self.pretokens.get(pretoken)
+        if found is None:
+            found = array("I", self.encode_pretoken(pretoken)).tobytes()
+            if len(pretoken) <= 64:
+                self.pretokens[pretoken] = found
+        return found
 
     def _whole(self, text: str) -> bytes:
         ids: list[int] = []
