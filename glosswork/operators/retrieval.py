@@ -24,39 +24,49 @@ def valid_vector(v: Column, dims: int) -> Column:
     return v.isNotNull() & (F.size(v) == dims) & F.forall(v, lambda x: ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
 
 
+#: Vectors of a block of queries and of a block of chunks.
+QUERY_BLOCK, CHUNK_BLOCK = 512, 2048
+
+
+def _blocks(rows: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
+    """One array of (id, v) a row, dealt by the id's hash, of about size vectors each."""
+    rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
+    n = max(1, -(-rows.count() // size))
+    return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("_block")).agg(F.collect_list(F.struct("id", "v")).alias(name)).select(name)
+
+
 def top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", chunk_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, chunk_id, score, rank of the k most similar chunks of each query, itself excluded.
 
-    queries is a bounded set (a request's questions), shipped with the tasks.
-    Every batch of chunks is one matrix product and keeps its own k best, so
-    only k rows a query and batch are shuffled; the final ranking is a window
-    whose group limit Spark pushes below the exchange. Ties go to the lower id.
+    Queries and chunks meet in blocks of bounded size, so neither the driver nor
+    a task holds all of either. Every pair of blocks is one matrix product and
+    keeps its own k best of each query; the final ranking is a window whose
+    group limit Spark pushes below the exchange. Ties go to the lower id.
     """
-    asked = [(r[0], r[1]) for r in queries.select(query_id, vector).collect()]
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        ids = np.array([q for q, _ in asked], np.int64)
-        q = np.array([v for _, v in asked], np.float64).reshape(len(asked), -1)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        def block(cell):
+            rows = cell.values
+            v = np.array(rows.field("v").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), -1)
+            return rows.field("id").to_numpy(zero_copy_only=False), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
         for batch in batches:
-            if not len(asked) or not batch.num_rows:
-                continue
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            m = np.array(batch.column(1).to_pylist(), np.float64)
-            score = np.clip(q @ (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)).T, 0.0, 1.0)
-            score[ids[:, None] == own[None, :]] = -1.0
-            n = min(k, len(own))
-            best = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :n]
-            rows = np.repeat(np.arange(len(ids)), n)
-            flat = best.ravel()
-            kept = score[rows, flat] >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids[rows[kept]]), pa.array(own[flat[kept]]), pa.array(score[rows[kept], flat[kept]])], names=["q", "c", "score"])
-
-    found = chunks.select(F.col(chunk_id).cast("long").alias("c"), vector).where(F.col(vector).isNotNull())
-    local = found.mapInArrow(run, "q long, c long, score double")
+            for asked, there in zip(batch.column("q"), batch.column("c"), strict=True):
+                (ids, q), (own, m) = block(asked), block(there)
+                score = np.clip(q @ m.T, 0.0, 1.0)
+                score[ids[:, None] == own[None, :]] = -1.0
+                n = min(k, len(own))
+                best = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :n]
+                rows = np.repeat(np.arange(len(ids)), n)
+                flat = best.ravel()
+                kept = score[rows, flat] >= 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows[kept]]), pa.array(own[flat[kept]]), pa.array(score[rows[kept], flat[kept]])], names=["q", "c", "score"])
+
+    pairs = _blocks(queries, query_id, vector, QUERY_BLOCK, "q").crossJoin(_blocks(chunks, chunk_id, vector, CHUNK_BLOCK, "c"))
+    local = pairs.mapInArrow(run, "q long, c long, score double")
     w = Window.partitionBy("q").orderBy(F.desc("score"), "c")
     ranked = local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query_id), F.col("c").alias(chunk_id), "score", "rank")
