@@ -282,7 +282,7 @@ def claim_evidence(t):
 
 @query("j18_greedy_matching")
 def greedy_matching(t):
-    keys = lambda c: F.transform(F.slice(T.token_set(F.col(c)), 1, 20), lambda w: F.array(w, F.substring(w, 1, 4)))
+    keys = lambda c: F.transform(T.token_set(F.col(c)), lambda w: F.array(w))
     return E.greedy_match(_turns(t).select(F.concat_ws("-", "conv_id", "turn").alias("case"), keys("prompt").alias("gold"), keys("answer").alias("predicted")), "case", "gold", "predicted")
 
 
