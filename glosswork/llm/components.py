@@ -39,17 +39,20 @@ def _small(links: DataFrame) -> DataFrame:
     return met.unionByName(least.select("hi", F.col("least").alias("lo"))).where("hi <> lo").distinct()
 
 
-def connected_components(links: DataFrame, a: str, b: str, steps: int = 60) -> DataFrame:
-    """node, root for every node that has a link; root is the smallest node reachable."""
+def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
+    """node, root for every node that has a link; root is the smallest node reachable.
+
+    Goes on until a step changes nothing; every step that changes the links
+    brings a node nearer to its root, so there is an end.
+    """
     now = materialize(
         links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")),
         "links",
     )
     mark = None
-    for _ in range(steps):
+    while True:
         now = materialize(_small(_large(now)), "links")
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo") % (1 << 40))).first()
+        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         if seen == mark:
-            break
+            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         mark = seen
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))

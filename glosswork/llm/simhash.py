@@ -133,8 +133,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, shingle: int = SH
     links = near_links(distinct, groups_for(distinct.count(), distance), distance)
     roots = connected_components(links, "a", "b")
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
+    # A root may have very many fingerprints: its minimum is a partial one, and the
+    # key of that side is written so that both are dealt for the join, which Spark may split.
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id")).select(F.bitwise_not(F.bitwise_not("root")).alias("_root"), "component_id")
+    classes = rooted.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), "component_id")
     return rows.join(classes, rows["fp"] == classes["_fp"]).select("doc_id", "fp", "component_id")
 
 
@@ -149,7 +151,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     id that stays stay together.
     """
     firsts = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.where("doc_id is not null").join(firsts, F.col("doc_id") == F.col("_first"), "left_semi").unionByName(docs.where("doc_id is null"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"))
+    own = F.col("_row.doc_id").cast("long")
+    kept = rows.where(own.isNotNull()).join(firsts, own == F.col("_first"), "left_semi")
+    return kept.unionByName(rows.where(own.isNull())).select("_row.*")
 
 
 def query(spark, sf_dir):

@@ -10,6 +10,7 @@ from collections import defaultdict
 import public_tokenizers as P
 import pytest
 import xxhash
+from brute import groups
 from tokenizers import Tokenizer
 
 from glosswork.llm import bpe, components, exact_dedup, licenses, media, packing, pii, quality, simhash, token_files, urls
@@ -357,27 +358,13 @@ def test_urls(spark):
     assert sum(right) / len(right) > 0.6 and sum(wrong) / len(wrong) < 0.2
 
 
-def brute_pipeline(rows, labels):
+def brute_pipeline(rows):
     """doc ids that stay after exact and near deduplication of (id, text) rows."""
     best = {}
     for i, t in rows:
         best[lower(t)] = max(i, best.get(lower(t), i))
     kept = [(i, t) for i, t in rows if best[lower(t)] == i]
-    fps = {i: shingle_fingerprint(t) for i, t in kept}
-    ids = sorted(fps)
-    root = {i: i for i in ids}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            if (fps[a] ^ fps[b]).bit_count() <= 4:
-                lo, hi = sorted((find(a), find(b)))
-                root[hi] = lo
-    return {find(i) for i in ids}
+    return {min(kept[i][0] for i in group) for group in groups(kept)}
 
 
 def test_pipeline(spark, sf_dir):
@@ -393,7 +380,7 @@ def test_pipeline(spark, sf_dir):
         now = spark.createDataFrame(now.collect(), docs.schema)
         steps[name] = {r.doc_id: r.text for r in now.collect()}
     good = [(i, t) for i, t in steps["quality"].items()]
-    assert steps["near_dedup"].keys() == brute_pipeline(good, None)
+    assert steps["near_dedup"].keys() == brute_pipeline(good)
     for i, t in steps["pii"].items():
         found = base(t)
         assert not any(found.values()), i
