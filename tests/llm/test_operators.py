@@ -92,15 +92,45 @@ def test_packing(docs, real, none, byte_ids):
     assert packing.pack(none, BYTES).count() == 0
 
 
-def test_grouping_genetic_algorithm_beats_best_fit():
+def triplets(count, seed, capacity=2048):
+    """Sizes that fill count bins by threes, each over a quarter and under half of a bin."""
     import random
 
-    sizes = [random.Random(5).choice([1020, 700, 690, 660, 400, 330, 1030]) for _ in range(300)]
-    start = packing.best_fit(range(300), sizes, 2048)
-    bins, room = packing.evolve(sizes, 2048, 1, generations=30)
-    assert sorted(i for b in bins for i in b) == list(range(300))
-    assert all(sum(sizes[i] for i in b) + r == 2048 for b, r in zip(bins, room, strict=True))
-    assert len(bins) <= len(start[0])
+    rng, sizes = random.Random(seed), []
+    while len(sizes) < 3 * count:
+        a, b = rng.randint(capacity // 4 + 1, capacity // 2 - 1), rng.randint(capacity // 4 + 1, capacity // 2 - 1)
+        if capacity // 4 < capacity - a - b < capacity // 2:
+            sizes += [a, b, capacity - a - b]
+    rng.shuffle(sizes)
+    return sizes
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_grouping_genetic_algorithm_beats_best_fit(seed):
+    import numpy as np
+
+    sizes = triplets(80, seed)
+    _, room = packing.grouping(np.array(sizes), 2048)
+    for decreasing in (False, True):
+        pop, ran, start = packing.evolve(sizes, 2048, seed, decreasing=decreasing, population=24, generations=600)
+        for place, left in pop:
+            assert np.array_equal(2048 - np.bincount(place, sizes), left) and min(left) >= 0
+        assert len(pop[0][1]) < min(len(room), start) and 0 < ran <= 600
+
+
+def test_islands_better_their_start(spark):
+    sizes = triplets(400, 5)
+    items = spark.createDataFrame(list(enumerate(sizes)), "item long, length long")
+    got = packing._level(items, 4, 1, 2048, 3).collect()
+    assert sorted(r.item for r in got) == list(range(1200))
+    held = defaultdict(list)
+    for r in got:
+        held[r.sequence_id].append((r.offset, r.length))
+    for spans in held.values():
+        assert [a for a, _ in sorted(spans)] == [sum(n for _, n in sorted(spans)[:i]) for i in range(len(spans))]
+    blocks = {(r.sequence_id >> 24): (r.generations, r.bins_start, r.bins_end) for r in got}
+    assert len(blocks) == 4 and all(g > 0 for g, _, _ in blocks.values())
+    assert sum(e for _, _, e in blocks.values()) == len(held) < sum(s for _, s, _ in blocks.values())
 
 
 def test_exact_dedup(docs, real, none):

@@ -109,7 +109,7 @@ PLANTED += ["please write to user77[at]mail1234 today", "please write to agent@l
 # Phones of another form stand after "call me at"; those support "desk line", which then finds one more.
 PLANTED += [f"call me at +1 (017) 555-77{i:02d} soon" for i in range(20)]
 PLANTED += [f"call me at 017 555 88{i:02d} or at desk line 017 555 88{i:02d} soon" for i in range(6)] + ["our desk line 017 666 1234 rings", "lot 017 777 1234 sold"]
-PLANTED += [f'password = "{i:02d}ab{"0f1e2d3c4b" * 3}{i:02d}cdef" was set' for i in range(8)] + ['password = "Tr0ub4dor-99-x1" was set', 'version = "2024-01-15-rc12" was set']
+PLANTED += [f'password = "{i:02d}ab{"0f1e2d3c4b" * 3}{i:02d}cdef" was set' for i in range(8)] + ['password = "Tr0ub4dor-99-x1" was set', 'version = "2024-01-15-rc12" is out']
 
 
 def test_spans_against_plain_loops(spark, docs, real):
@@ -131,7 +131,7 @@ def test_bootstrap_goes_beyond_the_first_round(spark):
     assert got["our desk line 017 666 1234 rings"].n_added == 1
     assert got['password = "Tr0ub4dor-99-x1" was set'].n_added == 1
     assert got["please write to agent@localhost now"].spans.startswith("email:")
-    assert not any(got[t].n_spans for t in ("lot 017 777 1234 sold", "order number was 12345678 then", 'version = "2024-01-15-rc12" was set'))
+    assert not any(got[t].n_spans for t in ("lot 017 777 1234 sold", "order number was 12345678 then", 'version = "2024-01-15-rc12" is out'))
     clean = {r.doc_id: r.text for r in pii.redact(rows).collect()}
     assert clean[PLANTED.index("our desk line 017 666 1234 rings")] == "our desk line [PHONE] rings"
     assert clean[PLANTED.index('password = "Tr0ub4dor-99-x1" was set')] == 'password = "[SECRET]" was set'
