@@ -13,7 +13,7 @@ import xxhash
 from brute import base, groups
 from tokenizers import Tokenizer
 
-from glosswork.llm import bpe, components, exact_dedup, licenses, media, packing, pii, quality, simhash, token_files, urls
+from glosswork.llm import bpe, components, exact_dedup, media, packing, pii, quality, simhash, token_files, urls
 
 BYTES, WORDS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 
@@ -161,17 +161,6 @@ def test_exact_dedup_of_a_hot_text(spark):
     assert [r.doc_id for r in low] == [0]
 
 
-def test_licenses(spark, docs, real, none):
-    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
-    assert got[17].licenses == "apache-2.0,mit,proprietary" and got[17].verdict == "noncommercial"
-    assert got[5].n_sentences == 0 and got[5].verdict == "none"
-    text = f"{licenses.SENTENCES[14]}. Between. {licenses.SENTENCES[15]}.\n{licenses.SENTENCES[1]}. {licenses.SENTENCES[16]}"
-    turned = f"{licenses.SENTENCES[16]}. {licenses.SENTENCES[15]}. {licenses.SENTENCES[14]}"
-    found = licenses.scan(spark.createDataFrame([(1, text), (2, turned)], "doc_id long, text string")).orderBy("doc_id").collect()
-    assert [r.licenses for r in found] == ["apache-2.0,bsd-2-clause", ""]
-    assert licenses.scan(none).count() == 0
-
-
 def test_pii(docs, real, none):
     for df, rows in both(docs, real):
         got = pii.digest(pii.find(df)).collect()
