@@ -47,10 +47,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Only where a session has none (as in local tests) a temporary one is set.
+    Where a session has none, a temporary one is set if it runs in one process
+    (as in local tests); on a cluster executors couldn't read it, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         found = Path(tempfile.mkdtemp(prefix="glosswork-")).as_uri()
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()

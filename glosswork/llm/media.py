@@ -5,11 +5,13 @@ The writer stores a payload as frames of 8-bit samples of a raw video track
 the sample tables. The reader knows nothing of the writer: it walks the nested
 boxes, decodes stsd, mdhd, stts, stsc, stsz, stco/co64 and stss, and derives
 codec, duration and the byte ranges of samples and keyframes without decoding
-any payload.
+any payload. It reads whole files: fragments (moof), edit lists and compact sample
+sizes (stz2) are not decoded.
 
 Defined cases: null text counts as empty and is stored as one frame of spaces;
 a file without stss has keyframes only; equal texts give equal bytes (no times,
-no names); repeated rows give repeated rows.
+no names); repeated rows give repeated rows; bytes that are no container (a box
+that doesn't fit, a table cut short) have no tracks and say why (inspect()).
 """
 
 from __future__ import annotations
@@ -134,6 +136,14 @@ def read(data: bytes) -> list[dict]:
     return tracks
 
 
+def inspect(data: bytes) -> tuple[list[dict], str]:
+    """The tracks of read() and "ok", or no tracks and what is wrong."""
+    try:
+        return read(data), "ok"
+    except (ValueError, struct.error, IndexError, KeyError) as e:
+        return [], f"malformed: {e}"
+
+
 def feature(track: dict) -> str:
     """codec, duration in ms, frames, keyframes, and the first and last keyframe's byte range."""
     keys = track["keyframes"]

@@ -5,7 +5,7 @@ a lasso logistic regression keeps few of them; the rules compile into one Spark
 column expression, so scoring is a projection.
 
 Training reads at most SAMPLE labelled rows (the smallest hashes of their ids,
-a documented bound); the statistics, the trees' cut points and the weights come
+a documented bound; of rows that repeat an id, the one with the least statistics); the statistics, the trees' cut points and the weights come
 from those, scoring covers every row. Labels, language, source and identifier
 are never inputs.
 
@@ -161,7 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     known = known.where(~held_out() & F.col("_label").isin(0.0, 1.0)).dropDuplicates(["doc_id"])
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     stats = statistics(F.col("text"))
-    rows = text_of(docs).join(F.broadcast(known), "doc_id").select("doc_id", "_label", *(c.alias(f"_{n}") for n, c in stats.items()))
+    rows = text_of(docs).join(F.broadcast(known), "doc_id").select("doc_id", F.struct("_label", *(c.alias(f"_{n}") for n, c in stats.items())).alias("_x"))
+    # One row of those that repeat an id, so that at most sample rows reach the driver.
+    rows = rows.groupBy("doc_id").agg(F.min("_x").alias("_x")).select("doc_id", "_x.*")
     got = np.array([list(r)[1:] for r in sorted(rows.collect(), key=lambda r: tuple(r))], float).reshape(-1, 1 + len(stats))
     rules, bias = fit(got[:, 1:], got[:, 0])
     return rules, bias, [f"_{n}" for n in stats]

@@ -11,7 +11,7 @@ the parts in order with their totals and bases. A task writes to a name of its
 own attempt and renames, so a task that runs twice leaves one whole file.
 
 Defined cases: null text counts as empty (the end id alone); documents that
-repeat an id follow each other by their text; null ids come first; an empty
+repeat an id follow each other by their text's hash (so that one id may cross parts); null ids come first; an empty
 table gives an empty manifest.
 """
 
@@ -33,10 +33,28 @@ def filesystem(uri: str):
     return (fs.LocalFileSystem(), path) if path else fs.FileSystem.from_uri(uri)
 
 
-def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, bits: int = 16) -> list[dict]:
-    """Writes the files and the manifest; returns the manifest's parts."""
+def bits_for(tokenizer_path: str, end_id: int) -> int:
+    """16 where all ids of the vocabulary and the end id fit, else 32."""
     import json
 
+    with open(tokenizer_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    most = max([end_id, *spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+    return 16 if most < 1 << 16 else 32
+
+
+def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, bits: int | None = None) -> list[dict]:
+    """Writes the files and the manifest; returns the manifest's parts.
+
+    bits: of an id, by default what the vocabulary needs; fewer are refused.
+    """
+    import json
+
+    needed = bits_for(tokenizer_path, end_id)
+    bits = bits or needed
+    if bits < needed:
+        raise ValueError(f"ids of this vocabulary need {needed} bits, not {bits}")
+
     spark, root = docs.sparkSession, ROOT
 
     def run(batches):
@@ -81,11 +99,11 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, bits:
         row = [[part], [len(ids)], [int(sum(sizes))]]
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in row], names=["part", "n_docs", "n_tokens"])
 
-    ordered = text_of(docs).repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = text_of(docs).repartitionByRange(shuffle_partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     totals = sorted(map(tuple, ordered.mapInArrow(run, "part long, n_docs long, n_tokens long").collect()))
     parts, base = [], 0
     for part, n_docs, n_tokens in totals:
-        parts.append({"part": part, "n_docs": n_docs, "n_tokens": n_tokens, "base": base})
+        parts.append({"part": part, "n_docs": n_docs, "n_tokens": n_tokens, "base": base, "bits": bits})
         base += n_tokens
     store, path = filesystem(folder)
     store.create_dir(path, recursive=True)
@@ -94,7 +112,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, bits:
     return parts
 
 
-def open_part(folder: str, part: int, bits: int = 16):
+def open_part(folder: str, part: int, bits: int):
     """(ids, offsets, doc ids) of a part, mapped to memory where the store allows."""
     import numpy as np
 
@@ -111,9 +129,9 @@ def open_part(folder: str, part: int, bits: int = 16):
     return tokens, index[1 : n + 2], index[n + 2 :]
 
 
-def read_back(spark, folder: str, parts: list[dict], bits: int = 16) -> DataFrame:
+def read_back(spark, folder: str, parts: list[dict]) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
-    root = ROOT
+    root, bits = ROOT, parts[0]["bits"] if parts else 16
 
     def run(batches):
         import sys

@@ -1,7 +1,7 @@
 """URL filters: path rules, then logistic regression on hashed character n-grams.
 
 The model is trained on the driver from a small labelled table (by default the
-one below, about a hundred URLs); n-grams of host and path are hashed apart, so
+one below, 75 URLs of either kind); n-grams of host and path are hashed apart, so
 the same letters may count for one and against in the other. Scoring needs the
 weight vector alone, whose size is fixed, and one pass over the URLs.
 
@@ -30,28 +30,40 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 
-#: Labelled URLs (host and path), 1 to block. Invented for this table.
+#: Labelled URLs (host and path), to block and to allow. Invented for this table.
 BLOCKED = """
-cheap-pills.example.com/en/1 www.cheap-pills.example.org/de/40 cheap-meds.example.net/buy/now best-pills.example.org/order
-spam-farm.example.org/en/728 www.spam-farm.example.com/fr/3 link-farm.example.net/x/9 spam-links.example.org/a/b
-online-casino.example.com/play www.casino-bonus.example.net/free-spins slots-win.example.org/jackpot poker-bets.example.com/bonus
-free-money.example.org/click win-prize.example.com/claim/now get-rich.example.net/fast crypto-doubler.example.org/send
-adult-cams.example.com/live xxx-tube.example.net/watch hot-singles.example.org/meet sexy-chat.example.com/free
-warez-crack.example.net/keygen torrent-leak.example.org/download cracked-apps.example.com/serial free-keygen.example.net/dl
-phish-login.example.com/verify/account secure-bank-login.example.org/update malware-drop.example.net/payload.exe ad-click.example.com/track/9
-replica-watches.example.org/sale fake-designer.example.com/shop viagra-deals.example.net/order loan-payday.example.org/apply
-seo-backlinks.example.com/buy click-farm.example.org/en/4 pill-shop.example.net/cart spam-blog.example.com/post/1
+cheap-pills.example.com/buy/1 best-pills.example.org/order/now pills-online.example.net/cart discount-pills.example.com/sale order-pills.example.org/cheap
+cheap-meds.example.net/buy/now meds-discount.example.org/order viagra-deals.example.net/order buy-viagra.example.com/cheap viagra-online.example.org/buy
+online-casino.example.com/play casino-bonus.example.net/free-spins best-casino.example.org/bonus casino-online.example.com/jackpot royal-casino.example.net/play
+slots-win.example.org/jackpot free-slots.example.com/spins win-slots.example.net/bonus poker-bonus.example.com/play online-poker.example.org/free-bonus
+free-money.example.org/click win-money.example.com/free easy-money.example.net/fast fast-money.example.org/win make-money.example.com/easy
+win-prize.example.com/claim/now free-prize.example.net/claim prize-winner.example.org/claim/free claim-prize.example.com/win get-rich-fast.example.net/easy-money
+adult-cams.example.com/live live-cams.example.net/adult free-cams.example.org/sexy xxx-tube.example.net/watch free-xxx.example.com/tube
+hot-singles.example.org/meet sexy-singles.example.com/hot meet-singles.example.net/sexy sexy-chat.example.com/free adult-chat.example.org/live-cams
+warez-crack.example.net/keygen free-warez.example.org/download crack-keygen.example.com/serial free-keygen.example.net/crack cracked-apps.example.com/keygen
+phish-login.example.com/verify/account verify-login.example.org/account/update account-verify.example.net/login secure-login-verify.example.com/account login-update.example.org/verify
+replica-watches.example.org/sale cheap-replica.example.com/watches replica-bags.example.net/cheap buy-replica.example.org/sale replica-shop.example.com/watches/sale
+payday-loan.example.org/apply fast-loan.example.com/payday loan-payday.example.net/cash cash-loan.example.org/fast easy-loan.example.com/payday/apply
+seo-backlinks.example.com/buy cheap-backlinks.example.org/seo buy-backlinks.example.net/links spam-links.example.org/seo/buy link-farm.example.net/backlinks
+spam-farm.example.org/spam/728 spam-blog.example.com/links spam-offers.example.net/click bulk-spam.example.org/offers click-spam.example.com/free
+crypto-doubler.example.org/send double-crypto.example.com/free free-crypto.example.net/claim crypto-prize.example.org/double bitcoin-doubler.example.com/claim/free
 """.split()
 ALLOWED = """
-www.tiontion.example.com/en/853 blog.ththan.example.net/en/960 therou.example.com/en/676 ththin.example.org/en/671
-m.ththth.example.net/en/25 thther.example.org/fr/414 therin.example.net/en/770 blog.tionsh.example.net/es/533
-www.ththwh.example.org/en/471 ththble.example.net/es/797 blog.ththly.example.org/en/777 thering.example.com/en/328
-news.example.org/world/2020/05 www.city-library.example.net/catalog docs.example.com/guide/install university.example.org/physics/lecture
-museum.example.net/exhibits/42 recipes.example.com/soup/tomato weather.example.org/forecast encyclopedia.example.net/wiki/river
-blog.gardening.example.com/roses www.chess-club.example.org/openings school.example.net/math/algebra travel.example.com/rome
-journal.example.org/article/118 forum.example.net/topic/77 health.example.com/advice/sleep music.example.org/scores/bach
-history.example.net/rome/empire code.example.com/project/readme science.example.org/biology/cell sports.example.net/results
-archive.example.com/books/12 gov.example.org/law/section/3 maps.example.net/trail films.example.com/review/9
+news.example.org/world/2020/05 city-library.example.net/catalog/item/12 docs.example.com/guide/install university.example.org/physics/lecture/3 museum.example.net/exhibits/42
+recipes.example.com/soup/tomato weather.example.org/forecast/week encyclopedia.example.net/wiki/river gardening.example.com/roses/pruning chess-club.example.org/openings
+school.example.net/math/algebra travel.example.com/rome/walks journal.example.org/article/118 forum.example.net/topic/77 health.example.com/advice/sleep
+music.example.org/scores/bach history.example.net/rome/empire code.example.com/project/readme science.example.org/biology/cell sports.example.net/results/2019
+archive.example.com/books/12 gov.example.org/law/section/3 maps.example.net/trail/north films.example.com/review/9 poetry.example.org/sonnet/18
+harbor-notes.example.org/en/120 www.riverside.example.com/en/418 blog.hillview.example.net/de/77 lantern.example.org/fr/331 m.orchard.example.com/es/902
+meadow-press.example.net/en/15 www.oldmill.example.org/de/640 blog.northwind.example.com/fr/208 stonebridge.example.net/en/511 m.willow.example.org/es/84
+www.cobalt-reading.example.com/en/733 fernhill.example.net/en/266 blog.saltmarsh.example.org/en/190 amberlight.example.com/de/905 m.quarry.example.net/fr/47
+www.thistle.example.org/en/358 driftwood.example.com/es/672 blog.eastgate.example.net/en/829 copperfield.example.org/en/543 m.lakehouse.example.com/de/316
+astronomy.example.org/planets/saturn botany.example.net/ferns/spores geology.example.com/rocks/basalt kitchen.example.org/bread/rye letters.example.net/archive/1912
+painting.example.com/watercolour/paper rail-timetable.example.org/north/stations parish.example.net/register/1840 theatre.example.com/plays/hamlet birdwatch.example.org/warblers
+teacher.example.net/lesson/fractions village.example.com/council/minutes observatory.example.org/nights/june printing.example.net/type/serif sailing.example.com/knots/bowline
+dictionary.example.org/word/lantern hospital.example.net/visiting/hours court.example.com/decision/2018 seminar.example.org/logic/notes workshop.example.net/tools/plane
+library.example.com/catalogue/maps survey.example.org/results/2021 orchestra.example.net/season/autumn nature.example.com/rivers/trout folklore.example.org/tales/winter
+grammar.example.net/verbs/past market-town.example.com/history/church engineering.example.org/bridges/arch physics.example.net/optics/lens cycling.example.com/routes/coast
 """.split()
 
 
