@@ -328,32 +328,53 @@ def rouge_l():
 
 
 def chrf(order: int = 6, beta: float = 2.0):
-    """A function of candidate and reference: F-beta of character n-gram precision and recall, averaged over the orders both have."""
+    """A function of candidate and reference: F-beta of character n-gram precision and recall, averaged over the orders both have.
+
+    N-grams of a batch are numbered by pairing the number of the shorter one with
+    the next character, and common ones are counted by one sort for each order.
+    """
 
     @pandas_udf("double")
     def score(candidates, references):
-        from collections import Counter
-
+        import numpy as np
         import pandas as pd
 
-        def one(c, r):
-            if c is None or r is None:
-                return None
-            c, r = "".join(c.split()), "".join(r.split())
-            top = min(order, len(c), len(r))
-            if not top:
-                return 1.0 if c == r else 0.0
-            p = q = 0.0
-            for n in range(1, top + 1):
-                a = Counter(c[i : i + n] for i in range(len(c) - n + 1))
-                b = Counter(r[i : i + n] for i in range(len(r) - n + 1))
-                hit = sum((a & b).values())
-                p += hit / sum(a.values()) / top
-                q += hit / sum(b.values()) / top
-            k = beta * beta
-            return (1 + k) * p * q / (k * p + q) if p + q else 0.0
-
-        return pd.Series([one(c, r) for c, r in zip(candidates, references, strict=True)], dtype="float64")
+        missing = (candidates.isna() | references.isna()).to_numpy()
+        sides = [["" if x is None else "".join(x.split()) for x in side] for side in (candidates, references)]
+        n = len(candidates)
+        texts = sides[0] + sides[1]
+        sizes = np.array([len(x) for x in texts], np.int64)
+        chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        row = np.repeat(np.arange(2 * n), sizes)
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(chars))  # characters from each place to its text's end
+        lengths = sizes.reshape(2, n)
+        top = np.minimum(order, lengths.min(axis=0))
+        p, q = np.zeros(n), np.zeros(n)
+        gram = np.zeros(len(chars), np.int64)
+        for k in range(1, order + 1):
+            whole = left >= k
+            at = np.flatnonzero(whole)
+            pair = np.full(len(chars), -1, np.int64)
+            pair[at] = gram[at] * (1 << 21) + chars[at + k - 1]
+            values, number = np.unique(pair[at], return_inverse=True)
+            gram[at] = number
+            # Counts of each n-gram in each text; a text's candidate and reference share a pair of keys.
+            key, count = np.unique(row[at] * max(1, len(values)) + number, return_counts=True)
+            text, own = key // max(1, len(values)), key % max(1, len(values))
+            case = text % n if n else text
+            by = np.lexsort((text, own, case))
+            same = (case[by][1:] == case[by][:-1]) & (own[by][1:] == own[by][:-1])
+            hit = np.bincount(case[by][1:][same], np.minimum(count[by][1:], count[by][:-1])[same], n)
+            part = k <= top
+            with np.errstate(divide="ignore", invalid="ignore"):
+                p += np.where(part, hit / (lengths[0] - k + 1) / top, 0.0)
+                q += np.where(part, hit / (lengths[1] - k + 1) / top, 0.0)
+        square = beta * beta
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = np.where(p + q > 0, (1 + square) * p * q / (square * p + q), 0.0)
+        equal = np.array([a == b for a, b in zip(*sides, strict=True)], bool)
+        out = np.where(top == 0, equal.astype(float), out)
+        return pd.Series(np.where(missing, np.nan, out)).astype("float64").where(~missing, None)
 
     return score
 

@@ -73,6 +73,7 @@ def entailment(claims: Column, evidence: Column, threshold: float = 0.8) -> dict
     return {"faithfulness": F.try_divide(supported.cast("double"), n), "groundedness": F.try_divide(total, n.cast("double"))}
 
 
+# Patterns of deontic modes and of negation.
 MODES = [
     ("obligation", r"(?i)\b(?:debe|debera|obligad[oa])\b"),
     ("prohibition", r"(?i)\b(?:prohibe|prohibir|prohibido|no\s+(?:puede|podra|autoriza|permite))\b"),

@@ -6,27 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _bucketed(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn("_bucket", F.floor(F.col(order) / width))
-
-
-def group_position(df: DataFrame, group: str | None, order: str, name: str, width: int = 4096) -> DataFrame:
+def group_position(df: DataFrame, group: str | None, order: str, name: str, buckets: int = 256) -> DataFrame:
     """Adds the 0-based position of a row within its group by a unique numeric key.
 
-    Rows are numbered inside ranges of the key; the ranges' counts, a far
-    smaller table, are summed up before each range and joined back.
+    The running count of running_counts, each row counting one: rows are numbered
+    between quantiles of the key, however sparse or skewed it is, and the buckets'
+    totals, at most buckets + 1 a group, are summed up before each.
     """
-    keys = ["_group", "_bucket"]
-    rows = _bucketed(df.withColumn("_group", F.col(group) if group else F.lit(0)), order, width)
-    inner = rows.withColumn("_pos", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = counts.select(*keys, before.alias("_base"))
-    return inner.join(base, keys).withColumn(name, F.col("_base") + F.col("_pos")).drop("_pos", "_base", *keys)
+    ones = df.withColumn("_one", F.lit(1).cast("long"))
+    return running_counts(ones, group, order, "_one", name, buckets).withColumn(name, F.col(name) - 1).drop("_one")
 
 
-def global_position(df: DataFrame, order: str, name: str, width: int = 4096) -> DataFrame:
-    return group_position(df, None, order, name, width)
+def global_position(df: DataFrame, order: str, name: str, buckets: int = 256) -> DataFrame:
+    return group_position(df, None, order, name, buckets)
 
 
 def running_counts(counts: DataFrame, group: str | None, value: str, count: str, name: str, buckets: int = 64) -> DataFrame:

@@ -69,15 +69,17 @@ def orphans(files: DataFrame, known: DataFrame, path: str) -> DataFrame:
 
 
 def fallback_match(items: DataFrame, catalog: DataFrame, candidates: Sequence[Column], catalog_key: str, value: str) -> DataFrame:
-    """Adds matched: value of the first candidate key that the catalog holds.
+    """Adds matched: value of the first candidate key that the catalog holds; every row stays, repeated ones too.
 
-    Candidates become rows with their rank and meet the catalog in one equi-join.
+    One left join for each candidate against the catalog's distinct keys; of
+    rows with an equal key the least value counts.
     """
-    keys = F.array(*(F.struct(F.lit(i).alias("rank"), c.alias("k")) for i, c in enumerate(candidates)))
-    rows = items.withColumn("_id", F.struct(*items.columns)).select("_id", F.explode(keys).alias("x")).select("_id", "x.rank", "x.k")
-    names = catalog.select(F.col(catalog_key).alias("k"), F.col(value).alias("_v")).dropDuplicates(["k"])
-    best = rows.join(names, "k", "left").groupBy("_id").agg(F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col("rank"))).alias("matched"))
-    return best.select("_id.*", "matched")
+    names = catalog.groupBy(F.col(catalog_key).alias("_k")).agg(F.min(value).alias("_v"))
+    rows = items.select(F.struct(*items.columns).alias("_row"), *(c.alias(f"_c{i}") for i, c in enumerate(candidates)))
+    for i in range(len(candidates)):
+        one = names.select(F.col("_k").alias(f"_k{i}"), F.col("_v").alias(f"_v{i}"))
+        rows = rows.join(one, F.col(f"_c{i}") == F.col(f"_k{i}"), "left")
+    return rows.select("_row.*", F.coalesce(*(F.col(f"_v{i}") for i in range(len(candidates)))).alias("matched"))
 
 
 def classify(rules: Sequence[tuple[str, Column]], other: str) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glosswork.session import written
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -24,25 +26,48 @@ def valid_vector(v: Column, dims: int) -> Column:
     return v.isNotNull() & (F.size(v) == dims) & F.forall(v, lambda x: ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
 
 
-#: Vectors of a block of queries and of a block of chunks.
-QUERY_BLOCK, CHUNK_BLOCK = 512, 2048
+#: Vectors of a block of queries and of a block of chunks, and most results of a query.
+QUERY_BLOCK, CHUNK_BLOCK, MOST = 512, 2048, 50
 
 
-def _blocks(rows: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
-    """One array of (id, v) a row, dealt by the id's hash, of about size vectors each."""
-    rows = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")
+def _blocks(rows: DataFrame, key: str, vector: str, size: int, name: str, ties: Sequence[Column] = ()) -> DataFrame:
+    """One array of (tie, v) a row in the order of ties and id, dealt by the id's hash, of about size vectors each.
+
+    Vectors that are null, of another length than the first's kind or not finite don't take part.
+    """
+    tie = F.struct(*(c.alias(f"t{i}") for i, c in enumerate(ties)), F.col(key).cast("long").alias("id"))
+    finite = F.forall(vector, lambda x: ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
+    rows = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull() & finite).select(tie.alias("tie"), F.col(vector).alias("v"))
     n = max(1, -(-rows.count() // size))
-    return rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("_block")).agg(F.collect_list(F.struct("id", "v")).alias(name)).select(name)
+    block = F.pmod(F.xxhash64("tie.id"), F.lit(n)).alias("_block")
+    return rows.groupBy(block).agg(F.array_sort(F.collect_list(F.struct("tie", "v"))).alias(name)).select(name)
+
 
+def top_k(
+    queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", chunk_id: str = "vec_id", vector: str = "embedding", ties: Sequence[Column] = (), minimum: float | None = None, dims: int | None = None
+) -> DataFrame:
+    """query_id, chunk_id, score, rank of the k nearest chunks of each query, itself excluded.
 
-def top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_id", chunk_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, chunk_id, score, rank of the k most similar chunks of each query, itself excluded.
+    The order is that of the raw cosine (to twelve digits), then of ties (columns
+    of chunks, ascending; a descending date is its negative day number), then of
+    the id. The score that is returned is clamped to [0, 1]; minimum is held against
+    it. k is 1 to 50. Vectors that are not of dims finite numbers don't take part
+    (dims: by default that of a chunk), nor do zero vectors, whose cosine is undefined.
 
     Queries and chunks meet in blocks of bounded size, so neither the driver nor
     a task holds all of either. Every pair of blocks is one matrix product and
     keeps its own k best of each query; the final ranking is a window whose
-    group limit Spark pushes below the exchange. Ties go to the lower id.
+    group limit Spark pushes below the exchange.
     """
+    if not 1 <= k <= MOST:
+        raise ValueError(f"k must be 1 to {MOST}")
+    if dims is None:
+        first = chunks.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+        dims = first[0] if first else 0
+    fits = F.size(vector) == dims
+    right = _blocks(chunks.where(fits), chunk_id, vector, CHUNK_BLOCK, "c", ties)
+    left = _blocks(queries.where(fits), query_id, vector, QUERY_BLOCK, "q")
+    tie = right.schema["c"].dataType.elementType["tie"].dataType
 
     def run(batches):
         import numpy as np
@@ -51,25 +76,28 @@ def top_k(queries: DataFrame, chunks: DataFrame, k: int, query_id: str = "query_
         def block(cell):
             rows = cell.values
             v = np.array(rows.field("v").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), -1)
-            return rows.field("id").to_numpy(zero_copy_only=False), v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            norm = np.linalg.norm(v, axis=1, keepdims=True)
+            return rows.field("tie"), v / np.where(norm > 0, norm, np.nan)
 
         for batch in batches:
             for asked, there in zip(batch.column("q"), batch.column("c"), strict=True):
-                (ids, q), (own, m) = block(asked), block(there)
-                score = np.clip(q @ m.T, 0.0, 1.0)
-                score[ids[:, None] == own[None, :]] = -1.0
+                (one, q), (own, m) = block(asked), block(there)
+                ids, others = (x.field("id").to_numpy(zero_copy_only=False) for x in (one, own))
+                score = np.round(q @ m.T, 12)
+                score[(ids[:, None] == others[None, :]) | np.isnan(score)] = -np.inf
                 n = min(k, len(own))
-                best = np.lexsort((np.broadcast_to(own, score.shape), -score), axis=1)[:, :n]
+                best = np.argsort(-score, axis=1, kind="stable")[:, :n]
                 rows = np.repeat(np.arange(len(ids)), n)
                 flat = best.ravel()
-                kept = score[rows, flat] >= 0
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows[kept]]), pa.array(own[flat[kept]]), pa.array(score[rows[kept], flat[kept]])], names=["q", "c", "score"])
+                kept = score[rows, flat] > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(ids[rows[kept]]), own.take(pa.array(flat[kept])), pa.array(score[rows[kept], flat[kept]])], names=["q", "tie", "raw"])
 
-    pairs = _blocks(queries, query_id, vector, QUERY_BLOCK, "q").crossJoin(_blocks(chunks, chunk_id, vector, CHUNK_BLOCK, "c"))
-    local = pairs.mapInArrow(run, "q long, c long, score double")
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "c")
+    local = left.crossJoin(right).mapInArrow(run, f"q long, tie {tie.simpleString()}, raw double")
+    if minimum is not None:
+        local = local.where(clamp(F.col("raw")) >= minimum)
+    w = Window.partitionBy("q").orderBy(F.desc("raw"), "tie")
     ranked = local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select(F.col("q").alias(query_id), F.col("c").alias(chunk_id), "score", "rank")
+    return ranked.select(F.col("q").alias(query_id), F.col("tie.id").alias(chunk_id), clamp(F.col("raw")).alias("score"), "rank")
 
 
 def diversify(ranked: DataFrame, query: str, document: str, section: str, per_document: int = 2, per_section: int = 1) -> DataFrame:
@@ -91,10 +119,23 @@ def citation(rank: Column) -> Column:
     return F.when(rank.between(1, 999), F.format_string("SRC-%03d", rank))
 
 
-def evidence_block(cite: Column, document: Column, score: Column, text: Column) -> Column:
-    """A citable block; reserved markers inside the text are marked as such."""
-    safe = F.regexp_replace(text, r"(?m)^(BEGIN|END) SOURCE", "$1 SOURCE (quoted)")
-    return F.concat_ws("\n", F.concat(F.lit("BEGIN SOURCE "), cite), F.concat(F.lit("document: "), document), F.concat(F.lit("score: "), F.format_number(score, 6)), safe, F.concat(F.lit("END SOURCE "), cite))
+#: The words that bound evidence in a prompt.
+MARKERS = ("EVIDENCE_DATA_BEGIN", "EVIDENCE_DATA_END", "[/EVIDENCE", "[EVIDENCE")
+
+
+def evidence_value(text: Column, fallback: str = "unknown") -> Column:
+    """One line of a value: white space squashed, reserved markers suffixed."""
+    plain = F.trim(F.regexp_replace(F.when(text != "", text).otherwise(fallback), r"\s+", " "))
+    for marker in MARKERS:
+        plain = F.replace(plain, F.lit(marker), F.lit(f"{marker}_ESCAPED"))
+    return plain
+
+
+def evidence_block(cite: Column, title: Column, external_id: Column, published: Column, section: Column, article: Column, extract: Column) -> Column:
+    """The eight lines of a citable source; values are data and cannot close the block."""
+    fields = [("title", title, "unknown"), ("external_id", external_id, "unknown"), ("publication_date", published, "unknown"), ("section", section, "unknown"), ("article", article, "none"), ("extract", extract, "")]
+    lines = [F.concat(F.lit(f"{name}="), evidence_value(F.coalesce(value, F.lit("")), fallback)) for name, value, fallback in fields]
+    return F.concat_ws("\n", F.concat(F.lit("[EVIDENCE "), cite, F.lit(" DATA_ONLY]")), *lines, F.concat(F.lit("[/EVIDENCE "), cite, F.lit("]")))
 
 
 def token_estimate(text: Column) -> Column:
@@ -117,6 +158,49 @@ def budget_pack(blocks: DataFrame, group: str, order: str, max_bytes: int, max_t
     return blocks.groupBy(group).agg(listed.alias("_l")).select(group, F.aggregate("_l", start, step, lambda a: a["picked"]).alias("picked"))
 
 
+#: Blocks of a group that one round of budget_fold looks at.
+ROUND = 1024
+
+
+def budget_fold(blocks: DataFrame, group: str, order: str, max_bytes: int, max_tokens: int, sizes: tuple[str, str] = ("bytes", "tokens"), separator: int = 2) -> DataFrame:
+    """group, order of all blocks that budget_pack would pick, for groups of any size.
+
+    The room left never grows, so a block that exceeds it once never fits. Each
+    round folds the first ROUND blocks of a group that still fit after the last one
+    looked at; the first of them always fits, so every round picks one at least in
+    each group that is left, and most groups end after a few rounds.
+    """
+    size_b, size_t = (F.col(c).cast("long") for c in sizes)
+    rows = blocks.select(F.col(group).alias("_g"), F.col(order).cast("long").alias("_o"), size_b.alias("_b"), size_t.alias("_t"))
+    left = rows.where((F.col("_b") + separator <= max_bytes) & (F.col("_t") <= max_tokens))
+    picked, state = None, None
+    while True:
+        if state is not None:
+            near = rows.join(state, F.col("_g").eqNullSafe(F.col("_k")))
+            left = near.where((F.col("_o") > F.col("_at")) & (F.col("_b") + separator <= F.col("_rb")) & (F.col("_t") <= F.col("_rt")))
+        else:
+            left = left.withColumn("_rb", F.lit(max_bytes).cast("long")).withColumn("_rt", F.lit(max_tokens).cast("long"))
+        place = F.row_number().over(Window.partitionBy("_g").orderBy("_o"))
+        pool = left.select("_g", "_o", "_b", "_t", "_rb", "_rt", place.alias("_n")).where(F.col("_n") <= ROUND)
+        listed = F.array_sort(F.collect_list(F.struct("_o", "_b", "_t"))).alias("l")
+        pool = pool.groupBy("_g").agg(listed, F.first("_rb").alias("_rb"), F.first("_rt").alias("_rt"))
+        start = F.struct(F.col("_rb").alias("b"), F.col("_rt").alias("t"), F.expr("cast(array() as array<bigint>)").alias("p"))
+
+        def step(acc, x):
+            cost = x["_b"] + F.lit(separator)
+            fits = (cost <= acc["b"]) & (x["_t"] <= acc["t"])
+            grown = F.struct((acc["b"] - cost).alias("b"), (acc["t"] - x["_t"]).alias("t"), F.concat(acc["p"], F.array(x["_o"])).alias("p"))
+            return F.when(fits, grown).otherwise(acc)
+
+        folded = written(pool.select("_g", F.aggregate("l", start, step).alias("f"), F.array_max(F.transform("l", lambda x: x["_o"])).alias("_at"), (F.size("l") == ROUND).alias("full")), "fold")
+        part = folded.select(F.col("_g").alias(group), F.explode("f.p").alias(order))
+        picked = part if picked is None else picked.unionByName(part)
+        # A group whose blocks were fewer than a round's has none left.
+        state = folded.where("full").select(F.col("_g").alias("_k"), F.col("f.b").alias("_rb"), F.col("f.t").alias("_rt"), "_at")
+        if state.isEmpty():
+            return picked
+
+
 # Ranking metrics over columns: retrieved array, relevant array or gains map.
 
 
@@ -140,6 +224,23 @@ def reciprocal_rank(retrieved: Column, relevant: Column, k: int | None = None) -
     return F.when(F.size(relevant) == 0, None).otherwise(F.when(at > 0, 1.0 / at).otherwise(0.0))
 
 
+def hits_precision(gains: Column, k: int, by_window: bool = False) -> Column:
+    """precision_at from the gains of what was retrieved, in order: over 0 is a hit."""
+    window = F.slice(gains, 1, k)
+    hits = F.size(F.filter(window, lambda g: g > 0)).cast("double")
+    return F.try_divide(hits, F.size(window).cast("double") if by_window else F.lit(float(k)))
+
+
+def hits_recall(gains: Column, n_relevant: Column, k: int) -> Column:
+    """recall_at of distinct results from their gains and the number of relevant ids; null without labels."""
+    return F.try_divide(F.size(F.filter(F.slice(gains, 1, k), lambda g: g > 0)).cast("double"), n_relevant.cast("double"))
+
+
+def hits_reciprocal_rank(gains: Column, n_relevant: Column, k: int) -> Column:
+    at = F.array_position(F.transform(F.slice(gains, 1, k), lambda g: g > 0), True)
+    return F.when(n_relevant == 0, None).otherwise(F.when(at > 0, 1.0 / at).otherwise(0.0))
+
+
 def ndcg_at(gains: Column, ideal: Column, k: int) -> Column:
     """gains: of the retrieved in order; ideal: of all relevant. Null when ideal is empty."""
 

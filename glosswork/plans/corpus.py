@@ -193,10 +193,12 @@ def leak_filter(t):
     return t.documents.select("doc_id").join(hits, "doc_id", "left_anti")
 
 
-@query("j16_semi_hash", "SELECT count(*) AS n FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id < 100)")
+@query("j16_semi_hash", "SELECT count(*) AS n FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)")
 def semi_hash(t):
+    """Documents whose text is one of a labelled set's, whatever their id."""
     h = t.documents.select("doc_id", F.sha2("text", 256).alias("h"))
-    return h.join(h.where("doc_id < 100").select("h"), "h", "left_semi").agg(F.count("*").alias("n"))
+    manifest = h.join(t.labels.where("toxic = 1").select("doc_id"), "doc_id").select("h").distinct()
+    return h.join(manifest, "h", "left_semi").agg(F.count("*").alias("n"))
 
 
 @query("f27_digests", "SELECT conv_id, turn, sha256(role || chr(31) || text) AS key FROM conversations")
@@ -228,13 +230,13 @@ def name_hints(t):
 
 @query("s01_s02_discovery")
 def discovery(t):
-    """Files of a folder of texts: written from the benchmark table, found, decoded."""
+    """Files of a folder of texts: one for each source of documents, written, found, decoded."""
     from glosswork.streaming.events import scratch
 
     folder = scratch(t.spark, "texts")
-    t.benchmark.select("text").coalesce(1).write.text(folder, lineSep="\n\n")
+    t.documents.select("source", "text").write.partitionBy("source").text(folder, lineSep="\n\n")
     found = files.decode(files.discover(t.spark, folder))
-    return found.groupBy("extension", "error").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    return found.groupBy("extension", "error").agg((F.count("*") > 0).alias("found"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("s07_s08_s11_json_lines", "SELECT conv_id, turn, role, sha256(text) AS digest FROM conversations")

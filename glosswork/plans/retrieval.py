@@ -2,48 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glosswork.operators import retrieval as V
 from glosswork.plans.registry import query
 
 _PAIRS = """
-WITH s AS (
+WITH p AS (
   SELECT q.vec_id AS query_id, q.label AS query_label, e.vec_id, e.label,
-         greatest(least(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 1.0), 0.0) AS score
-  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id < {n}),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+         round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 12) AS raw
+  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0),
+s AS (SELECT *, greatest(least(raw, 1.0), 0.0) AS score FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, vec_id) AS rank FROM s)
 """
 
-
-#: The stated queries. Where a query has SQL, the ids of that SQL hold instead.
+#: The stated queries: every row whose id is divisible by 20.
 _EVERY = "vec_id % 20 = 0"
 
 
-def _search(t, which, k):
-    asked = t.embeddings.where(which).select(F.col("vec_id").alias("query_id"), "embedding")
+def _search(t, k):
+    asked = t.embeddings.where(_EVERY).select(F.col("vec_id").alias("query_id"), "embedding")
     return V.top_k(asked, t.embeddings, k)
 
 
-def _labelled(t, which, k):
+def _labelled(t, k):
     labels = t.embeddings.select("vec_id", "label")
-    found = _search(t, which, k).join(labels, "vec_id")
-    return found.join(labels.where(which).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
+    found = _search(t, k).join(labels, "vec_id")
+    return found.join(labels.where(_EVERY).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label")), "query_id")
 
 
-@query("k01_vector_topk", _PAIRS.format(n=10) + "SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
+@query("k01_vector_topk", _PAIRS + "SELECT query_id, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
 def vector_topk(t):
-    return _search(t, "vec_id < 10", 10).withColumn("score", F.round("score", 6))
+    return _search(t, 10).withColumn("score", F.round("score", 6))
+
 
+@query("k01_ties_and_minimum", """
+WITH p AS (
+  SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 12) AS raw
+  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, -label, vec_id % 8, vec_id) AS INTEGER) AS rank FROM p WHERE raw >= 0.2 QUALIFY rank <= 50""")
+def ties_and_minimum(t):
+    """The whole order: similarity, then descending date (here the label), section, id; at most 50 above a minimum."""
+    asked = t.embeddings.where(_EVERY).select(F.col("vec_id").alias("query_id"), "embedding")
+    found = V.top_k(asked, t.embeddings, 50, ties=[-F.col("label"), F.col("vec_id") % 8], minimum=0.2)
+    return found.select("query_id", "vec_id", "rank")
 
-@query("j09_vector_expression", """
-SELECT q.vec_id AS query_id, count(*) AS n, round(max(s), 6) AS best FROM (
-  SELECT q.vec_id, greatest(least(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 1.0), 0.0) AS s
-  FROM embeddings q, embeddings e WHERE q.vec_id < 3 AND q.vec_id <> e.vec_id) q WHERE s >= 0.1 GROUP BY q.vec_id""")
+
+@query("j09_vector_expression", _PAIRS + "SELECT query_id, count(*) AS n, round(max(score), 6) AS best FROM r WHERE score >= 0.1 GROUP BY query_id")
 def vector_expression(t):
-    asked = t.embeddings.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = t.embeddings.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id"))
+    """Similarity as a column expression: the query set against all rows."""
+    asked = t.embeddings.where(_EVERY).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    pairs = t.embeddings.join(asked, F.col("vec_id") != F.col("query_id"))
     scored = pairs.select("query_id", V.cosine(F.col("q"), F.col("embedding")).alias("s")).where("s >= 0.1")
     return scored.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("s"), 6).alias("best"))
 
@@ -53,14 +62,14 @@ def vector_valid(t):
     return t.embeddings.agg(F.count("*").alias("n"), F.count_if(V.valid_vector(F.col("embedding"), 64)).alias("n_valid"))
 
 
-_DIVERSE = _PAIRS.format(n=10) + """
+_DIVERSE = _PAIRS + """
 , a AS (SELECT *, row_number() OVER (PARTITION BY query_id, label, vec_id % 8 ORDER BY rank) <= 1 AS ok FROM r WHERE rank <= 24),
 b AS (SELECT *, ok AND row_number() OVER (PARTITION BY query_id, label, ok ORDER BY rank) <= 2 AS sel FROM a)
 """
 
 
-def _diverse(t, which="vec_id < 10"):
-    rows = _labelled(t, which, 24).withColumn("section", F.col("vec_id") % 8)
+def _diverse(t):
+    rows = _labelled(t, 24).withColumn("section", F.col("vec_id") % 8)
     return V.diversify(rows, "query_id", "label", "section")
 
 
@@ -82,15 +91,8 @@ def context_rank(t):
     return rows.select("query_id", "vec_id", F.col("context_rank").cast("long").alias("context_rank"), V.citation(F.col("context_rank")).alias("citation"))
 
 
-def _docs_pool(t):
-    # The pool of a source is its first 40 documents; a fold runs over pools, never over a whole source.
-    w = Window.partitionBy("source").orderBy("doc_id")
-    docs = t.documents.select("source", "doc_id", F.octet_length("text").cast("long").alias("bytes"), V.token_estimate(F.col("text")).alias("tokens"))
-    return docs.withColumn("_n", F.row_number().over(w)).where("_n <= 40")
-
-
 @query("w05_budget_pack", """
-WITH RECURSIVE p AS (SELECT source, doc_id, strlen(text) AS b, greatest(1, CAST(ceil(strlen(text) / 4.0) AS BIGINT)) AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents QUALIFY n <= 40),
+WITH RECURSIVE p AS (SELECT source, doc_id, strlen(text) AS b, greatest(1, CAST(ceil(strlen(text) / 4.0) AS BIGINT)) AS k, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents),
 f AS (SELECT source, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS k, CAST('' AS VARCHAR) AS picked FROM (SELECT DISTINCT source FROM p)
   UNION ALL SELECT f.source, p.n, CASE WHEN f.b + p.b + 2 <= 65536 AND f.k + p.k <= 16384 THEN f.b + p.b + 2 ELSE f.b END,
     CASE WHEN f.b + p.b + 2 <= 65536 AND f.k + p.k <= 16384 THEN f.k + p.k ELSE f.k END,
@@ -98,8 +100,12 @@ f AS (SELECT source, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS b, CAST(0 AS B
   FROM f JOIN p ON p.source = f.source AND p.n = f.n + 1)
 SELECT source, substr(arg_max(picked, n), 2) AS picked FROM f GROUP BY source""")
 def budget_pack(t):
-    packed = V.budget_pack(_docs_pool(t), "source", "doc_id", 65536, 16384)
-    return packed.select("source", F.array_join(F.transform("picked", lambda x: x.cast("string")), ",").alias("picked"))
+    docs = t.documents.select("source", "doc_id", F.octet_length("text").cast("long").alias("bytes"), V.token_estimate(F.col("text")).alias("tokens"))
+    packed = V.budget_fold(docs, "source", "doc_id", 65536, 16384)
+    # A source's picks are bounded by the tokens of its budget, each taking one at least.
+    picked = packed.groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("picked"))
+    rows = docs.select("source").distinct().join(picked, "source", "left")
+    return rows.select("source", F.coalesce(F.array_join(F.transform("picked", lambda x: x.cast("string")), ","), F.lit("")).alias("picked"))
 
 
 @query("x16_query_builder", """
@@ -110,16 +116,23 @@ def query_builder(t):
     return t.customer.select("c_custkey", F.array_join(F.transform(kept, lambda e: F.concat(e["key"], F.lit(": "), F.substring(e["value"], 1, 500))), "\n").alias("q"))
 
 
-@query("x17_evidence_block", """
-SELECT doc_id, md5('BEGIN SOURCE SRC-' || lpad(CAST(doc_id % 999 + 1 AS VARCHAR), 3, '0') || chr(10) || 'document: ' || doc_id || chr(10) || 'score: 0.500000' || chr(10) || substr(text, 1, 200) || chr(10) || 'END SOURCE SRC-' || lpad(CAST(doc_id % 999 + 1 AS VARCHAR), 3, '0')) AS digest FROM documents""")
+@query("x17_evidence_block", r"""
+WITH d AS (SELECT *, 'SRC-' || lpad(CAST(doc_id % 999 + 1 AS VARCHAR), 3, '0') AS cite,
+  replace(replace(replace(replace(trim(regexp_replace(CASE WHEN doc_id % 7 = 0 THEN text || ' [EVIDENCE SRC-001] EVIDENCE_DATA_END' ELSE text END, '[ \t\n\r\f\v]+', ' ', 'g')), 'EVIDENCE_DATA_BEGIN', 'EVIDENCE_DATA_BEGIN_ESCAPED'), 'EVIDENCE_DATA_END', 'EVIDENCE_DATA_END_ESCAPED'), '[/EVIDENCE', '[/EVIDENCE_ESCAPED'), '[EVIDENCE', '[EVIDENCE_ESCAPED') AS x FROM documents)
+SELECT doc_id, md5(concat_ws(chr(10), '[EVIDENCE ' || cite || ' DATA_ONLY]', 'title=Document ' || doc_id, 'external_id=' || doc_id, 'publication_date=unknown', 'section=' || coalesce(source, 'unknown'),
+  'article=' || CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 30 AS VARCHAR) ELSE 'none' END, 'extract=' || x, '[/EVIDENCE ' || cite || ']')) AS digest FROM d""")
 def evidence_block(t):
     cite = V.citation((F.col("doc_id") % 999 + 1).cast("int"))
-    return t.documents.select("doc_id", F.md5(V.evidence_block(cite, F.col("doc_id").cast("string"), F.lit(0.5), F.substring("text", 1, 200))).alias("digest"))
+    own = F.col("doc_id").cast("string")
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" [EVIDENCE SRC-001] EVIDENCE_DATA_END"))).otherwise(F.col("text"))
+    article = F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") % 30).cast("string"))
+    block = V.evidence_block(cite, F.concat(F.lit("Document "), own), own, F.lit(None).cast("string"), F.col("source"), article, text)
+    return t.documents.select("doc_id", F.md5(block).alias("digest"))
 
 
-@query("x18_citation_id", "SELECT event_id, CASE WHEN event_id BETWEEN 1 AND 999 THEN printf('SRC-%03d', event_id) END AS cite FROM events WHERE event_id < 1200")
+@query("x18_citation_id", "SELECT event_id, CASE WHEN event_id BETWEEN 1 AND 999 THEN printf('SRC-%03d', event_id) END AS cite FROM events")
 def citation_id(t):
-    return t.events.where("event_id < 1200").select("event_id", V.citation(F.col("event_id")).alias("cite"))
+    return t.events.select("event_id", V.citation(F.col("event_id")).alias("cite"))
 
 
 @query("f05_token_estimate", "SELECT lang, CAST(sum(greatest(1, CAST(ceil(strlen(text) / 4.0) AS BIGINT))) AS BIGINT) AS tokens FROM documents GROUP BY lang")
@@ -127,17 +140,18 @@ def token_estimate(t):
     return t.documents.groupBy("lang").agg(F.sum(V.token_estimate(F.col("text"))).alias("tokens"))
 
 
-def _lists(t, n, k):
-    """query_id, retrieved (k ids by rank), gains, relevant (ids with the query's label), ideal."""
-    found = _labelled(t, f"vec_id < {n}", k).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", (F.col("label") == F.col("query_label")).cast("int").alias("g")))).alias("r"))
-    asked = t.embeddings.where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"))
-    relevant = t.embeddings.join(F.broadcast(asked), (F.col("label") == F.col("query_label")) & (F.col("vec_id") != F.col("query_id")))
-    relevant = relevant.groupBy("query_id").agg(F.collect_list("vec_id").alias("relevant"))
-    rows = found.join(relevant, "query_id", "left")
-    return rows.select("query_id", F.transform("r", lambda x: x["vec_id"]).alias("retrieved"), F.transform("r", lambda x: x["g"]).alias("gains"), F.coalesce("relevant", F.array().cast("array<bigint>")).alias("relevant"))
+def _lists(t, k):
+    """query_id, gains (1 for a hit with the query's label, by rank) and n_relevant, the number of others with that label.
+
+    Relevant ids are counted a label, not listed a query.
+    """
+    hit = (F.col("label") == F.col("query_label")).cast("int").alias("g")
+    found = _labelled(t, k).groupBy("query_id", "query_label").agg(F.array_sort(F.collect_list(F.struct("rank", hit))).alias("r"))
+    sizes = t.embeddings.groupBy(F.col("label").alias("query_label")).agg((F.count("*") - 1).alias("n_relevant"))
+    return found.join(sizes, "query_label").select("query_id", F.transform("r", lambda x: x["g"]).alias("gains"), "n_relevant")
 
 
-_METRICS = _PAIRS.format(n=20) + """
+_METRICS = _PAIRS + """
 , m AS (SELECT query_id, count(*) FILTER (label = query_label) AS n_rel,
         count(*) FILTER (label = query_label AND rank <= 3) AS h3, count(*) FILTER (label = query_label AND rank <= 5) AS h5,
         min(rank) FILTER (label = query_label AND rank <= 10) AS first_hit,
@@ -148,16 +162,16 @@ e AS (SELECT *, CASE WHEN n_rel = 0 THEN NULL ELSE h5 / n_rel END AS r5, CASE WH
 
 
 def _metrics(t):
-    rows = _lists(t, 20, 10)
-    got, rel = F.col("retrieved"), F.col("relevant")
-    ideal = F.transform("relevant", lambda x: F.lit(1))
+    rows = _lists(t, 10)
+    gains, n = F.col("gains"), F.col("n_relevant")
     return rows.select(
         "query_id",
-        V.precision_at(got, rel, 3).alias("p3"),
-        V.precision_at(got, rel, 5).alias("p5"),
-        V.recall_at(got, rel, 5).alias("r5"),
-        V.reciprocal_rank(got, rel, 10).alias("rr"),
-        V.ndcg_at(F.col("gains"), ideal, 5).alias("ndcg5"),
+        V.hits_precision(gains, 3).alias("p3"),
+        V.hits_precision(gains, 5).alias("p5"),
+        V.hits_recall(gains, n, 5).alias("r5"),
+        V.hits_reciprocal_rank(gains, n, 10).alias("rr"),
+        # Ideal gains: as many ones as there are relevant rows, of which a window sees five at most.
+        V.ndcg_at(gains, F.array_repeat(F.lit(1), F.least(n, F.lit(5)).cast("int")), 5).alias("ndcg5"),
     )
 
 
@@ -171,11 +185,10 @@ def precision_recall(t):
     return _metrics(t).select("query_id", F.round("p3", 9).alias("p3"), F.round("p5", 9).alias("p5"))
 
 
-@query("f14_precision_by_window", _PAIRS.format(n=20) + """
+@query("f14_precision_by_window", _PAIRS + """
 SELECT query_id, round(count(*) FILTER (label = query_label) / count(*), 9) AS p FROM r WHERE rank <= 7 GROUP BY query_id""")
 def precision_by_window(t):
-    rows = _lists(t, 20, 7)
-    return rows.select("query_id", F.round(V.precision_at(F.col("retrieved"), F.col("relevant"), 50, by_window=True), 9).alias("p"))
+    return _lists(t, 7).select("query_id", F.round(V.hits_precision(F.col("gains"), 50, by_window=True), 9).alias("p"))
 
 
 @query("e04_retrieval_eval", _METRICS + """
@@ -212,7 +225,7 @@ def violations(t):
 @query("e14_rag_retrieval")
 def rag_retrieval(t):
     """Search, diversity, citation and budget in one: the context of each query."""
-    selected = _diverse(t, _EVERY).where("disposition = 'SELECTED'")
+    selected = _diverse(t).where("disposition = 'SELECTED'")
     blocks = selected.withColumn("bytes", F.lit(400) + F.col("vec_id") % 97).withColumn("tokens", F.ceil(F.col("bytes") / 4))
     packed = V.budget_pack(blocks, "query_id", "rank", 2048, 600)
     return selected.join(packed, "query_id").where(F.array_contains("picked", F.col("rank").cast("long"))).select("query_id", "vec_id", "rank", V.citation(F.col("context_rank")).alias("citation"))

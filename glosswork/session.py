@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[*]", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -17,3 +20,25 @@ def session(master: str = "local[*]", partitions: int = 8, memory: str = "8g") -
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where none is set, a temporary folder is if the session runs in one process;
+    on a cluster executors couldn't read it, so that is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="glosswork-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back, which cuts its lineage."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

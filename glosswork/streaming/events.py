@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glosswork.session import scratch
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder in the shared checkpoint folder (a temporary one where none is set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="glosswork-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/stream-{label}-{uuid.uuid4().hex}"
+__all__ = ["drain", "first_in_window", "scratch", "windowed_counts", "work_loop"]
 
 
 def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:

@@ -200,7 +200,7 @@ def test_fallback_and_gold(spark):
 
 def test_positions(spark):
     df = spark.createDataFrame([(i, i % 3) for i in range(0, 30_000, 7)], "k long, g int")
-    got = group_position(df, "g", "k", "pos", width=500).orderBy("g", "k").collect()
+    got = group_position(df, "g", "k", "pos", buckets=16).orderBy("g", "k").collect()
     for g in range(3):
         assert [r.pos for r in got if r.g == g] == list(range(sum(r.g == g for r in got)))
 
