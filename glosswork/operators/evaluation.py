@@ -100,6 +100,48 @@ def polarity_conflicts(gold: Column, candidate: Column) -> Column:
     return F.when(shared, F.array_compact(codes)).otherwise(F.array().cast("array<string>"))
 
 
+# Words of exception, and the recall at which a field's value counts as met.
+EXCEPTION = r"(?i)\b(?:salvo|excepto|exceptua|exceptuando)\b"
+MET_AT = {"normas_citadas": 0.85, "fecha_plazo_vigencia": 0.8, "dependencia": 0.75}
+DISCLOSED_AT = 0.42
+
+
+def disclosed(value: Column, prompt: Column, field: Column | None = None, noise: Sequence[str] = ()) -> Column:
+    """Whether the prompt gives a gold value away; null for a dependency that is noise."""
+    recall = T.token_recall(value, prompt)
+    if field is None or not noise:
+        return recall >= DISCLOSED_AT
+    plain = [T.comparison_form(F.lit(n)) for n in noise]
+    return F.when((field == "dependencia") & T.comparison_form(value).isin(*plain), None).otherwise(recall >= DISCLOSED_AT)
+
+
+def claim_match(field: Column, index: Column, value: Column, candidate: Column) -> Column:
+    """Whether a candidate text meets a gold value, by the field's own rule.
+
+    Norms and dates are met by a typed claim in common or by recall; an article's
+    number must appear besides; a dependency may stand as it is. An exception in
+    the value must be one in the candidate.
+    """
+    recall = T.token_recall(value, candidate)
+    typed = T.typed_claims(candidate)
+    shared = F.arrays_overlap(T.typed_claims(value), typed)
+    lost = T.strip_accents(value).rlike(EXCEPTION) & ~T.strip_accents(candidate).rlike(EXCEPTION)
+    met = F.when(field == "articulos_resolutivos", F.array_contains(typed, F.concat(F.lit("articulo:"), index)) & (recall >= DISCLOSED_AT))
+    met = met.when(field == "dependencia", T.comparison_form(candidate).contains(T.comparison_form(value)) | (recall >= MET_AT["dependencia"]))
+    for name in ("normas_citadas", "fecha_plazo_vigencia"):
+        met = met.when(field == name, shared | (recall >= MET_AT[name]))
+    return ~lost & met.otherwise(recall >= DISCLOSED_AT)
+
+
+def value_match(gold: Column, predicted: Column) -> dict[str, Column]:
+    """tp, fp, fn, precision, recall, f1, exact of two arrays in which values may repeat."""
+    times = lambda a, v: F.size(F.filter(a, lambda x: x == v))
+    tp = F.aggregate(F.array_distinct(gold), F.lit(0), lambda s, v: s + F.least(times(gold, v), times(predicted, v)))
+    fp, fn = F.size(predicted) - tp, F.size(gold) - tp
+    p, r = F.try_divide(tp.cast("double"), tp + fp), F.try_divide(tp.cast("double"), tp + fn)
+    return {"tp": tp, "fp": fp, "fn": fn, "precision": p, "recall": r, "f1": F.when(p + r > 0, 2 * p * r / (p + r)), "exact": (fp == 0) & (fn == 0)}
+
+
 def legal_core(cases: DataFrame, case: str, candidate: str, gold: str, prompt: str, disclosed_at: float = 0.42) -> DataFrame:
     """Per case: prompt recall, match, unsupported and conflicting claims, and the gate."""
     c, g, p = T.typed_claims(F.col(candidate)), T.typed_claims(F.col(gold)), T.typed_claims(F.col(prompt))

@@ -218,13 +218,13 @@ def uuid5(t):
     return t.benchmark.select("item_id", C.uuid5("6ba7b810-9dad-11d1-80b4-00c04fd430c8")(F.sha2("text", 256)).alias("id"))
 
 
-@query("x23_family_name", r"SELECT url, regexp_replace(regexp_replace(url, '(page=[0-9]+|ref=x|utm_source=feed|#top)', '', 'g'), '[?&]+$', '', 'g') AS family FROM pages")
-def family_name(t):
+@query("url_family", r"SELECT url, regexp_replace(regexp_replace(url, '(page=[0-9]+|ref=x|utm_source=feed|#top)', '', 'g'), '[?&]+$', '', 'g') AS family FROM pages")
+def url_family(t):
     return t.pages.select("url", F.regexp_replace(F.regexp_replace("url", r"(page=[0-9]+|ref=x|utm_source=feed|#top)", ""), "[?&]+$", "").alias("family"))
 
 
-@query("x19_x27_name_hints", r"SELECT page_id, regexp_extract(url, '/([a-z]{2})/', 1) AS lang, TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS INTEGER) AS number FROM pages")
-def name_hints(t):
+@query("x27_path_numbers", r"SELECT page_id, regexp_extract(url, '/([a-z]{2})/', 1) AS lang, TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS INTEGER) AS number FROM pages")
+def path_numbers(t):
     return t.pages.select("page_id", F.regexp_extract("url", "/([a-z]{2})/", 1).alias("lang"), F.regexp_extract("url", "/([0-9]+)", 1).try_cast("int").alias("number"))
 
 

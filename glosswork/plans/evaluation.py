@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glosswork.functions import nested as N
 from glosswork.functions import text as T
 from glosswork.operators import evaluation as E
 from glosswork.plans.registry import query
@@ -171,8 +172,82 @@ def polarity_conflicts(t):
     return _turns(t).select("conv_id", "turn", F.size(E.polarity_conflicts(F.col("prompt"), F.col("answer"))).alias("n"))
 
 
-@query("x22_flatten", "SELECT conv_id, md5(string_agg(text, ' ' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+@query("x22_flatten", """
+SELECT o_orderkey, 'Order of ' || o_custkey || ' first ' || o_orderpriority || ' then ' || o_orderstatus || ' end' AS flat FROM orders""")
 def flatten(t):
+    """A nested draft as one text, without its sources and citations."""
+    article = lambda *parts: F.struct(F.concat(*parts).alias("text"), F.array(F.lit("c1")).alias("citation_ids"), F.lit(3).alias("number"))
+    draft = F.struct(
+        F.concat(F.lit("Order of "), F.col("o_custkey").cast("string")).alias("title"),
+        F.array(article(F.lit("first "), F.col("o_orderpriority")), article(F.lit("then "), F.col("o_orderstatus"))).alias("articles"),
+        F.array(F.struct(F.lit("not this").alias("excerpt"))).alias("sources"),
+        F.struct(F.struct(F.lit("end").alias("note"), F.lit("http://x").alias("source_url")).alias("inner")).alias("tail"),
+    )
+    return t.orders.select("o_orderkey", N.flat_text()(F.to_json(draft)).alias("flat"))
+
+
+@query("x23_family_name", "SELECT p_partkey, 'run-' || p_size || '-x' AS family FROM part")
+def family_name(t):
+    marks = F.array(*map(F.lit, N.FAMILY_MARKS))
+    mark = F.element_at(marks, (F.col("p_partkey") % len(N.FAMILY_MARKS) + 1).cast("int"))
+    time = F.when(F.col("p_partkey") % 2 == 0, "-20260814T1203Z").otherwise("")
+    name = F.concat(F.lit("Run-"), F.col("p_size").cast("string"), mark, F.lit("-X"), time)
+    # "-residency-smoke" loses "-smoke" first, as the marks are taken in order.
+    rest = F.regexp_replace(N.family_name(name), r"-residency(?:-failed-network)?", "")
+    return t.part.select("p_partkey", rest.alias("family"))
+
+
+@query("x19_name_hints", """
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN '0.6b' WHEN p_partkey % 3 = 1 THEN '4B' ELSE '0.6B' END AS model_size,
+       CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) END AS rag_context, CAST(p_size * 1024 AS VARCHAR) AS ollama_context, p_partkey % 5 = 0 AS smoke FROM part""")
+def run_name_hints(t):
+    k, n = F.col("p_partkey"), F.col("p_size")
+    size = F.when(k % 3 == 0, "s0.6b").when(k % 3 == 1, "4B").otherwise("qwen06b")
+    rag = F.when(n % 2 == 0, F.concat(F.lit("-rag"), n.cast("string"))).otherwise("")
+    name = F.concat(F.lit("case-"), size, rag, F.lit("-Ollama"), (n * 1024).cast("string"), F.when(k % 5 == 0, "-Smoke").otherwise(""))
+    hints = N.name_hints(name)
+    return t.part.select("p_partkey", *(c.alias(x) for x, c in hints.items()))
+
+
+@query("f18_disclosure", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE o_orderkey % 4 IN (0, 1) END AS disclosed FROM orders")
+def disclosure(t):
+    k = F.col("o_orderkey") % 4
+    value = F.when(k == 0, "contratar personal tecnico").when(k == 1, "contratar personal").when(k == 2, "designar nuevas autoridades").otherwise("Poder Ejecutivo")
+    field = F.when(k == 3, "dependencia").otherwise("objeto")
+    return t.orders.select("o_orderkey", E.disclosed(value, F.lit("se propone contratar personal de planta"), field, ["PODER EJECUTIVO"]).alias("disclosed"))
+
+
+@query("f19_claim_match", "SELECT o_orderkey, o_orderkey % 3 = 0 AS matched FROM orders")
+def claim_match(t):
+    """Each field's rule on values that are met for every third order alone."""
+    k = F.col("o_orderkey")
+    say = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    hit, n, article = k % 3 == 0, k % 9999 + 1, (k % 30 + 1).cast("string")
+    rows = [
+        ("normas_citadas", say("Decreto ", n.cast("string"), "/2005"), say("segun Decreto ", F.when(hit, n).otherwise(n + 1).cast("string"), "/2005 vigente")),
+        ("fecha_plazo_vigencia", F.lit("plazo de 30 dias"), say("termino de ", F.when(hit, "30").otherwise("60"), " dias habiles")),
+        ("articulos_resolutivos", F.lit("aprobar el gasto de la obra"), say("articulo ", F.when(hit, article).otherwise("99"), " aprobar el gasto")),
+        ("dependencia", F.lit("Secretaria de Obras"), F.when(hit, "La Secretaría de Obras Públicas").otherwise("El Ministerio de Obras")),
+        ("objeto", F.lit("designar personal salvo licencia"), F.when(hit, "designar personal exceptuando licencia").otherwise("designar personal con licencia")),
+    ]
+    cases = F.element_at(F.array(*(F.struct(F.lit(f).alias("field"), v.alias("value"), c.alias("candidate")) for f, v, c in rows)), (k % 5 + 1).cast("int"))
+    return t.orders.select("o_orderkey", cases.alias("x"), article.alias("a")).select("o_orderkey", E.claim_match(F.col("x.field"), F.col("a"), F.col("x.value"), F.col("x.candidate")).alias("matched"))
+
+
+@query("f34_value_match", """
+WITH g AS (SELECT o_custkey, o_orderstatus AS v, count(*) AS n FROM orders GROUP BY ALL),
+p AS (SELECT o_custkey, CASE WHEN o_totalprice > 150000 THEN o_orderstatus ELSE 'X' END AS v, count(*) AS n FROM orders GROUP BY ALL),
+s AS (SELECT o_custkey, CAST(sum(g.n) AS INTEGER) AS n, CAST(sum(least(g.n, coalesce(p.n, 0))) AS INTEGER) AS tp FROM g LEFT JOIN p USING (o_custkey, v) GROUP BY o_custkey)
+SELECT o_custkey, tp, n - tp AS fp, n - tp AS fn, CASE WHEN tp > 0 THEN round(tp / n, 9) END AS f1, tp = n AS exact FROM s""")
+def value_match(t):
+    p = F.when(F.col("o_totalprice") > 150000, F.col("o_orderstatus")).otherwise("X")
+    s = t.orders.groupBy("o_custkey").agg(F.collect_list("o_orderstatus").alias("g"), F.collect_list(p).alias("p"))
+    m = E.value_match(F.col("g"), F.col("p"))
+    return s.select("o_custkey", m["tp"].alias("tp"), m["fp"].alias("fp"), m["fn"].alias("fn"), F.round(m["f1"], 9).alias("f1"), m["exact"].alias("exact"))
+
+
+@query("conversation_text", "SELECT conv_id, md5(string_agg(text, ' ' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def conversation_text(t):
     # A conversation's turns are gathered by key; hosts bound a conversation's length.
     listed = F.array_sort(F.collect_list(F.struct("turn", "text")))
     return t.conversations.groupBy("conv_id").agg(F.md5(F.array_join(F.transform(listed, lambda x: x["text"]), " ")).alias("digest"))
@@ -217,9 +292,18 @@ def json_kind(t):
     return t.events.groupBy(E.json_kind(F.col("props")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("f26_key_search", "SELECT event_id, CAST(coalesce(json_extract_string(props, '$.latency'), json_extract_string(props, '$.k')) AS DOUBLE) AS found FROM events")
+@query("f26_key_search", """
+SELECT event_id, CAST(event_id % 1000 AS DOUBLE) AS latency, CASE WHEN event_id % 2 = 0 THEN round(event_id % 77 / 10.0, 6) END AS cost FROM events""")
 def key_search(t):
-    return t.events.select("event_id", F.coalesce(F.get_json_object("props", "$.latency"), F.get_json_object("props", "$.k")).try_cast("double").alias("found"))
+    """Latency and cost, wherever a trace holds them: an object's own keys come before nested ones."""
+    k = F.col("event_id")
+    deep = F.struct(F.lit(-1).alias("latency_ms"), F.lit("x").alias("name"))
+    near = F.to_json(F.struct(F.struct(deep.alias("inner"), (k % 1000).alias("Duration_MS")).alias("trace")))
+    step = F.to_json(F.struct((k % 1000).alias("elapsed_ms"), (k % 77 / 10.0).alias("total_cost")))
+    far = F.concat(F.lit('{"steps": [{"step": "a"}, '), step, F.lit("]}"))
+    trace = F.when(k % 2 == 1, near).otherwise(far)
+    number = lambda keys: N.first_value(keys)(trace).try_cast("double")
+    return t.events.select("event_id", number(N.LATENCY_KEYS).alias("latency"), F.round(number(N.COST_KEYS), 6).alias("cost"))
 
 
 @query("f30_tolerant_equality", "SELECT count(*) FILTER (abs(l_extendedprice - (l_extendedprice + l_tax * 1e-6)) <= 1e-9 * greatest(abs(l_extendedprice), abs(l_extendedprice + l_tax * 1e-6))) AS equal, count(*) AS n FROM lineitem")

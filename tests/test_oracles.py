@@ -45,6 +45,13 @@ def test_same_rows(spark, sf_dir, con, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(columns, want.fetchall())
 
 
+#: Without SQL, and without rows on the small tables.
+EMPTY = {"x08_entities", "e02_contradictions"}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).limit(5).collect() is not None
+def test_gives_the_same_rows_again(spark, sf_dir, name):
+    one, two = (QUERIES[name](spark, sf_dir) for _ in range(2))
+    first = rows(one.columns, [tuple(r) for r in one.collect()])
+    assert first == rows(two.columns, [tuple(r) for r in two.collect()])
+    assert first or name in EMPTY
