@@ -10,8 +10,12 @@ from glosswork.plans import QUERIES
 from glosswork.session import session
 
 NAMES = [
-    "e04_retrieval_eval", "k01_vector_topk", "w01_rank_diversify", "f13_recall_mrr_ndcg", "g01_filtered_counts", "j02_left_agg", "k02_pagination", "j07_leakage_contains", "u06_merge_classify",
-    "w14_inbatch_dedup", "x01_section_lines", "x02_chunks", "x03_tokens", "t05_wilson", "t08_mcnemar_counts", "t13_t14_paired_bootstrap", "w08_holm", "g16_long_stats", "g26_spearman", "j26_two_copy_parity", "s04_html_visible", "f08_chrf", "w05_budget_pack", "w15_transitions",
+    "e04_retrieval_eval", "k01_vector_topk", "w01_rank_diversify", "f13_recall_mrr_ndcg",
+    "g01_filtered_counts", "j02_left_agg", "k02_pagination", "j07_leakage_contains",
+    "u06_merge_classify", "w14_inbatch_dedup", "x01_section_lines", "x02_chunks", "x03_tokens",
+    "t05_wilson", "t08_mcnemar_counts", "t13_t14_paired_bootstrap", "w08_holm", "g16_long_stats",
+    "g26_spearman", "j26_two_copy_parity", "s04_html_visible", "f08_chrf", "w05_budget_pack",
+    "w15_transitions",
 ]
 
 
