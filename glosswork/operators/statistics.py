@@ -184,68 +184,122 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return ranked.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
 
 
-def wilcoxon(values: Sequence[float], full_ties: bool = False) -> tuple[float, float] | None:
-    """(W, two-sided p) of signed ranks: exact by a table of rank sums for up to
-    20 untied differences, else normal with half (or full) tie correction."""
-    d = [v for v in values if v]
-    n = len(d)
-    if not n:
-        return None
-    size = sorted(abs(v) for v in d)
-    first = {v: i for i, v in reversed(list(enumerate(size)))}
-    count = {v: size.count(v) for v in first} if n <= 500 else None
-    if count is None:
-        from collections import Counter
-
-        count = Counter(size)
-    rank = {v: first[v] + (count[v] + 1) / 2 for v in first}
-    plus = sum(rank[abs(v)] for v in d if v > 0)
-    total = n * (n + 1) / 2
-    w = min(plus, total - plus)
-    if n <= 20 and all(c == 1 for c in count.values()):
-        sums = [1]
-        for r in range(1, n + 1):
-            grown = sums + [0] * r
-            for i, c in enumerate(sums):
-                grown[i + r] += c
-            sums = grown
-        return w, min(1.0, 2 * sum(sums[: int(w) + 1]) / 2**n)
-    ties = sum(c**3 - c for c in count.values())
-    variance = (n * (n + 1) * (2 * n + 1) - (ties if full_ties else ties / 2)) / 24
-    if variance <= 0:
-        return w, 1.0
-    return w, math.erfc(abs(w - total / 2) / math.sqrt(variance) / math.sqrt(2))
+def signed_rank_p(full_ties: bool = True, exact_to: int = 20):
+    """A function (n, w_plus, ties) -> two-sided p of signed ranks.
+
+    Up to exact_to untied differences the rank sums of all sign patterns are
+    counted by a table; beyond, the normal form with a continuity of one half and
+    the whole or half tie correction.
+    """
 
+    def exact(n, low):
+        ways = [1] + [0] * (n * (n + 1) // 2)
+        for rank in range(1, n + 1):
+            for at in range(len(ways) - 1, rank - 1, -1):
+                ways[at] += ways[at - rank]
+        return min(1.0, 2 * sum(ways[: int(low) + 1]) / 2**n)
 
-def wilcoxon_by_pair(pairs: DataFrame, full_ties: bool = False) -> DataFrame:
-    """run_a, run_b, n, w, p of a - b.
+    def p(n, plus, ties):
+        total = n * (n + 1) / 2
+        if n and n <= exact_to and not ties:
+            return exact(n, min(plus, total - plus))
+        variance = (n * (n + 1) * (2 * n + 1) - ties * (1.0 if full_ties else 0.5)) / 24
+        off = abs(plus - total / 2)
+        if variance <= 0 or not off:
+            return 1.0
+        return math.erfc(abs(off - 0.5) / math.sqrt(2 * variance))
+
+    return p
+
+
+def _signed_ranks(pairs: DataFrame) -> DataFrame:
+    """run_a, run_b, n, plus, ties of a - b.
 
     Signed differences are counted per pair first: a pair's group holds its
     distinct differences, and ranks come from running counts over them, so the
-    normal form needs sums alone; only p is computed at the end.
+    tests need sums alone.
     """
     d = pairs.select("run_a", "run_b", (F.col("a") - F.col("b")).alias("d")).where("d <> 0")
-    counts = d.groupBy("run_a", "run_b", F.abs("d").alias("size")).agg(F.count_if(F.col("d") > 0).alias("up"), F.count("*").alias("c"))
-    w = Window.partitionBy("run_a", "run_b").orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("r", F.sum("c").over(w) - F.col("c") + (F.col("c") + 1) / 2)
+    size = d.groupBy(F.struct("run_a", "run_b").alias("pair"), F.abs("d").cast("double").alias("size"))
+    counts = size.agg(F.count_if(F.col("d") > 0).alias("up"), F.count("*").alias("c"))
+    ranked = running_counts(counts, "pair", "size", "c", "upto").withColumn("r", F.col("upto") - (F.col("c") - 1) / 2)
     c = F.col("c").cast("double")
-    sums = ranked.groupBy("run_a", "run_b").agg(F.sum("c").alias("n"), F.sum(F.col("up") * F.col("r")).alias("plus"), F.sum(c * c * c - c).alias("ties"))
+    sums = ranked.groupBy("pair").agg(F.sum("c").alias("n"), F.sum(F.col("up") * F.col("r")).alias("plus"), F.sum(c * c * c - c).alias("ties"))
+    return sums.select("pair.run_a", "pair.run_b", "n", "plus", "ties")
+
+
+def wilcoxon_by_pair(pairs: DataFrame, full_ties: bool = False) -> DataFrame:
+    """run_a, run_b, n, w, z (normal form without continuity) of a - b."""
     n = F.col("n").cast("double")
     total = n * (n + 1) / 2
     variance = (n * (n + 1) * (2 * n + 1) - F.col("ties") * (1.0 if full_ties else 0.5)) / 24
     low = F.least("plus", total - F.col("plus"))
     z = F.abs(low - total / 2) / F.sqrt(variance)
-    return sums.select("run_a", "run_b", "n", low.alias("w"), z.alias("z"))
+    return _signed_ranks(pairs).select("run_a", "run_b", "n", low.alias("w"), z.alias("z"))
+
+
+def wilcoxon_tests(pairs: DataFrame, exact_to: int = 20) -> DataFrame:
+    """run_a, run_b, n, w_plus, w_minus, p_exact, p_half_ties, method of a - b.
+
+    p_exact is exact for few untied differences, else normal with whole ties;
+    p_half_ties is always normal. A pair without a difference has n = 0 and p = 1.
+    """
+    from pyspark.sql.functions import pandas_udf
+
+    whole, half = signed_rank_p(True, exact_to), signed_rank_p(False, 0)
+
+    def column(rule):
+        @pandas_udf("double")
+        def p(n, plus, ties):
+            import pandas as pd
+
+            return pd.Series([rule(int(a), b, c) for a, b, c in zip(n, plus, ties, strict=True)], dtype="float64")
+
+        return p
+
+    every = pairs.groupBy(F.col("run_a").alias("_a"), F.col("run_b").alias("_b")).agg(F.count("*").alias("_n"))
+    on = F.col("run_a").eqNullSafe(F.col("_a")) & F.col("run_b").eqNullSafe(F.col("_b"))
+    joined = every.join(_signed_ranks(pairs), on, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double")
+    rows = joined.select(F.col("_a").alias("run_a"), F.col("_b").alias("run_b"), zero("n").cast("long").alias("n"), zero("plus").alias("w_plus"), zero("ties").alias("ties"))
+    method = F.when(F.col("n") == 0, "NO_DIFFERENCE").when((F.col("n") <= exact_to) & (F.col("ties") == 0), "EXACT").otherwise("NORMAL")
+    minus = F.col("n") * (F.col("n") + 1) / 2 - F.col("w_plus")
+    ps = [column(rule)("n", "w_plus", "ties").alias(name) for rule, name in ((whole, "p_exact"), (half, "p_half_ties"))]
+    return rows.select("run_a", "run_b", "n", "w_plus", minus.alias("w_minus"), *ps, method.alias("method"))
+
+
+def _resample(resamples: int, seed: int, cells: int = 1 << 22):
+    """A function (values, counts) -> resampled means, one row a resample.
+
+    values has a row for each distinct value or vector of values. Draws are
+    multinomial counts over those, a block of resamples at a time, so memory is
+    bounded by the distinct values, and all columns of a vector share their draws.
+    """
+
+    def means(values, counts):
+        import numpy as np
+
+        total, rng = int(counts.sum()), np.random.default_rng(seed)
+        step = max(1, cells // max(1, len(counts)))
+        blocks = [rng.multinomial(total, counts / total, min(step, resamples - at)) @ values / total for at in range(0, resamples, step)]
+        return np.concatenate(blocks)
 
+    return means
 
-def bootstrap(deltas: DataFrame, keys: Sequence[str], value: str, resamples: int = 2000, seed: int = 20260825, plus_one: bool = False) -> DataFrame:
+
+def _kinds(df: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+
+
+def bootstrap(deltas: DataFrame, keys: Sequence[str], value: str, resamples: int = 2000, seed: int = 20260825, plus_one: bool = False, quantiles: str = "linear") -> DataFrame:
     """keys, mean, low, high, p: percentile bootstrap of the mean, one task a group.
 
-    Groups hold one value per paired case. Values are counted before they are
-    gathered and a resample draws multinomial counts, so memory follows the
-    number of distinct values, not of cases.
+    Groups hold one value per paired case and are counted before they are
+    gathered. quantiles is NumPy's method: "linear", or "lower" for the truncated
+    position.
     """
     counts = deltas.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    means_of = _resample(resamples, seed)
 
     def draw(frame):
         import numpy as np
@@ -253,18 +307,87 @@ def bootstrap(deltas: DataFrame, keys: Sequence[str], value: str, resamples: int
 
         frame = frame.sort_values(value)
         v, n = frame[value].to_numpy(float), frame["n"].to_numpy(np.int64)
-        total = int(n.sum())
-        rng = np.random.default_rng(seed)
-        means = rng.multinomial(total, n / total, resamples) @ v / total
-        low, high = np.quantile(means, [0.025, 0.975])
+        means = means_of(v, n)
+        low, high = np.quantile(means, [0.025, 0.975], method=quantiles)
         extra = 1 if plus_one else 0
         tail = min((means <= 0).sum(), (means >= 0).sum())
         p = min(1.0, 2 * (tail + extra) / (resamples + extra))
         row = {k: [frame[k].iloc[0]] for k in keys}
-        return pd.DataFrame(row | {"mean": [float((v * n).sum() / total)], "low": [float(low)], "high": [float(high)], "p": [float(p)]})
+        return pd.DataFrame(row | {"mean": [float((v * n).sum() / n.sum())], "low": [float(low)], "high": [float(high)], "p": [float(p)]})
+
+    return counts.groupBy(*keys).applyInPandas(draw, f"{_kinds(deltas, keys)}, mean double, low double, high double, p double")
+
+
+def bootstrap_bca(rows: DataFrame, keys: Sequence[str], value: str, resamples: int = 2000, seed: int = 20260825, level: float = 0.95) -> DataFrame:
+    """keys, n, mean, low, high, method, fallback: bias-corrected and accelerated interval of the mean.
+
+    The jackknife of a mean is known from the distinct values and their counts.
+    Where the correction isn't defined (one value, or all equal), the percentile
+    interval stands, method is "percentile" and fallback says why.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    means_of = _resample(resamples, seed)
+
+    def places(v, n, mean, means):
+        from statistics import NormalDist
+
+        normal, size, tail = NormalDist(), int(n.sum()), (1 - level) / 2
+        if size < 2:
+            return None
+        apart = (v - mean) / (size - 1)
+        square = float((n * apart**2).sum())
+        if square <= 0:
+            return None
+        skew = float((n * apart**3).sum()) / (6 * square**1.5)
+        edge = 1 / (2 * (resamples + 1))
+        below = float((means < mean).mean() + (means == mean).mean() / 2)
+        shift = normal.inv_cdf(min(1 - edge, max(edge, below)))
+        found = []
+        for raw in (tail, 1 - tail):
+            moved = shift + normal.inv_cdf(raw)
+            if skew * moved == 1:
+                return None
+            found.append(normal.cdf(shift + moved / (1 - skew * moved)))
+        return found if found[0] <= found[1] else None
+
+    def draw(frame):
+        import numpy as np
+        import pandas as pd
+
+        frame = frame.sort_values(value)
+        v, n = frame[value].to_numpy(float), frame["n"].to_numpy(np.int64)
+        means, mean = means_of(v, n), float((v * n).sum() / n.sum())
+        at = places(v, n, mean, means)
+        low, high = np.quantile(means, at or [(1 - level) / 2, (1 + level) / 2])
+        row = {k: [frame[k].iloc[0]] for k in keys}
+        why = None if at else "DEGENERATE_SAMPLE"
+        return pd.DataFrame(row | {"n": [int(n.sum())], "mean": [mean], "low": [float(low)], "high": [float(high)], "method": ["bca" if at else "percentile"], "fallback": [why]})
+
+    return counts.groupBy(*keys).applyInPandas(draw, f"{_kinds(rows, keys)}, n long, mean double, low double, high double, method string, fallback string")
+
+
+def bootstrap_shared(deltas: DataFrame, keys: Sequence[str], metrics: Sequence[str], resamples: int = 2000, seed: int = 20260825) -> DataFrame:
+    """keys, metric, n, mean, low, high, p: the metrics of a case are drawn together.
+
+    A case without one of the metrics takes no part.
+    """
+    whole = deltas.dropna(subset=list(metrics))
+    counts = whole.groupBy(*keys, *metrics).agg(F.count("*").alias("n"))
+    means_of = _resample(resamples, seed)
+
+    def draw(frame):
+        import numpy as np
+        import pandas as pd
+
+        frame = frame.sort_values(list(metrics))
+        v, n = frame[list(metrics)].to_numpy(float), frame["n"].to_numpy(np.int64)
+        means = means_of(v, n)
+        low, high = np.quantile(means, [0.025, 0.975], axis=0)
+        p = np.minimum(1.0, 2 * np.minimum((means <= 0).mean(axis=0), (means >= 0).mean(axis=0)))
+        row = {k: [frame[k].iloc[0]] * len(metrics) for k in keys}
+        return pd.DataFrame(row | {"metric": list(metrics), "n": [int(n.sum())] * len(metrics), "mean": n @ v / n.sum(), "low": low, "high": high, "p": p})
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in deltas.select(*keys).schema)
-    return counts.groupBy(*keys).applyInPandas(draw, f"{kinds}, mean double, low double, high double, p double")
+    return counts.groupBy(*keys).applyInPandas(draw, f"{_kinds(deltas, keys)}, metric string, n long, mean double, low double, high double, p double")
 
 
 def pareto(df: DataFrame, key: str, objectives: Sequence[str]) -> DataFrame:

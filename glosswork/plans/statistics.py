@@ -26,6 +26,10 @@ def _pairs(t, value):
     return S.run_pairs(_cases(t), "run", "c", value)
 
 
+def _deltas(t):
+    return _pairs(t, "v").select("run_a", "run_b", (F.col("a") - F.col("b")).alias("d"))
+
+
 @query("t01_t04_percentiles", """
 WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL),
 ps(p) AS (VALUES (0.5), (0.95))
@@ -96,21 +100,30 @@ def wilcoxon(t):
     return S.wilcoxon_by_pair(_pairs(t, "v")).withColumn("z", F.round("z", 6))
 
 
+@query("t10_t11_wilcoxon_p")
+def wilcoxon_p(t):
+    return S.wilcoxon_tests(_pairs(t, "v"))
+
+
 @query("t12_bootstrap_mean")
 def bootstrap_mean(t):
-    return S.bootstrap(t.lineitem.select("l_returnflag", "l_discount"), ["l_returnflag"], "l_discount")
+    return S.bootstrap_bca(t.lineitem.select("l_returnflag", "l_discount"), ["l_returnflag"], "l_discount")
 
 
 @query("t13_t14_paired_bootstrap")
 def paired_bootstrap(t):
-    deltas = _pairs(t, "v").select("run_a", "run_b", (F.col("a") - F.col("b")).alias("d"))
-    return S.bootstrap(deltas, ["run_a", "run_b"], "d")
+    return S.bootstrap(_deltas(t), ["run_a", "run_b"], "d", plus_one=True)
+
+
+@query("t14_shared_bootstrap")
+def shared_bootstrap(t):
+    both = _deltas(t).withColumn("won", F.when(F.col("d") > 0, 1.0).when(F.col("d") < 0, -1.0).otherwise(0.0))
+    return S.bootstrap_shared(both, ["run_a", "run_b"], ["d", "won"])
 
 
 @query("t15_bootstrap_plus_one")
 def bootstrap_plus_one(t):
-    deltas = _pairs(t, "v").select("run_a", "run_b", (F.col("a") - F.col("b")).alias("d"))
-    return S.bootstrap(deltas, ["run_a", "run_b"], "d", resamples=500, plus_one=True)
+    return S.bootstrap(_deltas(t), ["run_a", "run_b"], "d", resamples=500, plus_one=True, quantiles="lower")
 
 
 @query("t16_t18_effects", _CASES + """

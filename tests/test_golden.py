@@ -68,17 +68,6 @@ def test_mcnemar(spark):
     assert S.sign_tail(0, 0) == 1.0 and 0 < S.sign_tail(900, 2000) < 1e-4
 
 
-def test_wilcoxon_exact_equals_enumeration():
-    rng = random.Random(2)
-    for _ in range(20):
-        d = [rng.choice([-1, 1]) * (i + rng.random() / 2) for i in range(1, 10)]
-        w, p = S.wilcoxon(d)
-        ranks = range(1, 10)
-        sums = [sum(r for r, s in zip(ranks, signs) if s) for signs in itertools.product((0, 1), repeat=9)]
-        assert p == pytest.approx(min(1.0, 2 * sum(x <= w for x in sums) / 512))
-    assert S.wilcoxon([0, 0]) is None
-
-
 def test_bootstrap_is_seeded(spark):
     df = spark.createDataFrame([("g", float(i % 7 - 2)) for i in range(400)], "g string, d double")
     a, b = (S.bootstrap(df, ["g"], "d", resamples=300).first() for _ in range(2))
