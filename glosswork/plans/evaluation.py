@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glosswork.functions import decrees as D
 from glosswork.functions import nested as N
 from glosswork.functions import text as T
 from glosswork.operators import evaluation as E
@@ -440,13 +441,79 @@ def pdf_proxy(t):
     return _turns(t).select("conv_id", "turn", (T.token_recall(T.clean_extracted(F.col("prompt")), T.clean_extracted(F.col("answer"))) >= 0.5).alias("covered"))
 
 
+_DECREE = """'MINISTERIO DE ECONOMIA' || chr(10) || 'Decreto N° ' || (o_orderkey % 900 + 100) || '/2021' || chr(10) || 'Apruébase el programa ' || o_orderkey || '.' || chr(10) || 'Buenos Aires, ' || (o_orderkey % 28 + 1) || '/5/2021' || chr(10) || 'VISTO: el Expediente EX-' || o_orderkey || ' y la Ley N° ' || (o_custkey + 1000) || chr(10) || 'CONSIDERANDO:' || chr(10) || 'Que el presupuesto del programa ' || o_orderkey || ' alcanza para el gasto.' || chr(10) || 'Que el Decreto N° ' || (o_orderkey % 900 + 100) || '/21 fija un plazo de ' || (o_orderkey % 30 + 2) || ' días para la medida.' || chr(10) || 'Por ello,' || chr(10) || 'EL PRESIDENTE DECRETA:' || chr(10) || 'Artículo 1 — Autorízase el gasto ' || o_custkey || ' del artículo 7, inciso 2.' || chr(10) || 'Artículo 2 — Comuníquese.'"""
+_OWN = "(o_orderkey % 900 + 100)"
+
+
+def _decree():
+    return F.expr(_DECREE)
+
+
+@query("x10_material_claims", f"""
+SELECT o_orderkey, array_to_string(list_sort(['norma:decreto:' || {_OWN} || ':2021', 'norma:decreto:' || {_OWN} || ':21', 'norma:ley:' || (o_custkey + 1000) || ':-', 'fecha_num:' || (o_orderkey % 28 + 1) || ':5:2021', 'plazo:' || (o_orderkey % 30 + 2) || ':dias', 'expediente:ex' || o_orderkey, 'articulo:1:-', 'articulo:2:-', 'articulo:7:2']), ' ') AS claims FROM orders""")
+def material_claims_of_decrees(t):
+    return t.orders.select("o_orderkey", F.array_join(D.material_claims(_decree()), " ").alias("claims"))
+
+
+@query("x11_x12_canonical_fields", f"""
+SELECT o_orderkey, ['decreto:' || {_OWN} || ':2021', 'ley:' || substr((o_custkey + 1000) || '', 1, 3) || ':-', 'decreto:' || {_OWN} || ':21'][i] AS norm, i - 1 AS pos, 'EX' || o_orderkey AS file, (o_orderkey % 30 + 2) || ':day' AS term, 'article:7:2' AS ref FROM orders, range(1, 4) r(i)""")
+def canonical_fields(t):
+    """A norm's number without thousands dots is read up to its third digit, as the format has it."""
+    fields = D.canonical_fields(D.legal_fields(_decree()))
+    rows = t.orders.select("o_orderkey", fields.alias("f")).select("o_orderkey", F.posexplode("f.norma").alias("pos", "norm"), "f")
+    return rows.select("o_orderkey", "norm", F.col("pos").cast("long").alias("pos"), F.get("f.expediente", F.lit(0)).alias("file"), F.get("f.plazo", F.lit(0)).alias("term"), F.get("f.referencias", F.lit(1)).alias("ref"))
+
+
+@query("x13_reference_facts", f"""
+WITH d AS (SELECT *, 'días' AS u FROM orders), f AS (
+SELECT o_orderkey, unnest([('organismo', 'MINISTERIO DE ECONOMIA'), ('objeto', 'Apruébase el programa ' || o_orderkey || '.'), ('fecha', 'Buenos Aires, ' || (o_orderkey % 28 + 1) || '/5/2021'),
+('dependencia-0', 'MINISTERIO DE ECONOMIA'), ('dependencia-1', 'CONSIDERANDO:'), ('dependencia-2', 'EL PRESIDENTE DECRETA:'),
+('articulo-1', 'Autorízase el gasto ' || o_custkey || ' del'), ('articulo-7', ', inciso 2.'), ('articulo-2', 'Comuníquese.')]) AS x FROM d
+UNION ALL SELECT o_orderkey, ('norma-' || (row_number() OVER (PARTITION BY o_orderkey ORDER BY n) - 1), n) FROM (SELECT o_orderkey, unnest([{_OWN} || ' 2021', {_OWN} || ' 21', (o_custkey + 1000) || '']) AS n FROM d))
+SELECT o_orderkey, x[1] AS fact_id, x[2] AS text FROM f""")
+def reference_facts(t):
+    rows = t.orders.select("o_orderkey", F.inline(D.reference_facts(_decree())))
+    return rows.where("field <> 'datos_criticos'").select("o_orderkey", "fact_id", "text")
+
+
+@query("x14_prompt_parts", f"""
+SELECT o_orderkey, {_OWN} || '/2021' AS target, 'MINISTERIO DE ECONOMIA' AS organisation, 'aprobar el programa ' || o_orderkey AS objective,
+'El presupuesto del programa ' || o_orderkey || ' alcanza para el gasto.|El la medida proyectada fija un plazo de ' || (o_orderkey % 30 + 2) || ' días para la medida.' AS facts,
+'Artículo funcional 1: Autorizar el gasto ' || o_custkey || ' del artículo 7, inciso 2.' AS requirements FROM orders""")
+def prompt_parts(t):
+    parts = D.prompt_parts(_decree())
+    texts = {k: F.array_join(c, "|") if k in ("facts", "requirements") else c for k, c in parts.items()}
+    return t.orders.select("o_orderkey", *(c.alias(k) for k, c in texts.items()))
+
+
+@query("x25_evidence", """
+SELECT doc_id, 'd' || doc_id || ':chunk-1' AS evidence_id, lang AS source_id, 's' || source AS text FROM documents
+UNION ALL SELECT doc_id, 'c' || doc_id, NULL, 'n' || n_chars FROM documents""")
+def evidence(t):
+    """Chunks of a retrieval context, some of them filtered or outside the context."""
+    chunk = lambda **c: F.struct(*(v.alias(k) for k, v in c.items()))
+    no_id = F.to_json(chunk(text=F.concat(F.lit("s"), F.col("source")), filtered=F.lit(False)))
+    own = F.to_json(chunk(chunk_id=F.concat(F.lit("c"), F.col("doc_id")), text=F.concat(F.lit("n"), F.col("n_chars"))))
+    out = F.to_json(chunk(id=F.lit("x"), text=F.lit("y"), excluded=F.lit(True)))
+    text = F.concat(F.lit('{"trace_id":"d'), F.col("doc_id"), F.lit('","references":['), own, F.lit('],"chunks":['), no_id, F.lit(","), own, F.lit(","), out, F.lit("]}"))
+    rows = t.documents.select("doc_id", "lang", F.inline(N.evidence()(text)))
+    return rows.select("doc_id", "evidence_id", F.when(F.col("evidence_id").startswith("d"), F.col("lang")).alias("source_id"), "text")
+
+
+@query("e10_reference_coverage")
+def reference_coverage(t):
+    """Share of a decree's reference facts, by field, that a draft without its last article covers."""
+    draft = F.regexp_replace(_decree(), r"(?s)Artículo 2.*", "")
+    rows = t.orders.select("o_orderkey", draft.alias("draft"), F.inline(D.reference_facts(_decree())))
+    met = T.comparison_form(F.col("draft")).contains(T.comparison_form(F.col("text"))) | (T.token_recall(F.col("text"), F.col("draft")) >= 0.65)
+    return rows.groupBy("field").agg(F.count("*").alias("facts"), F.count_if(met).alias("covered"))
+
+
 @query("x14_x15_prompts", """
 SELECT c_custkey, 'Dear ' || c_name || ', segment ' || c_mktsegment || '. {{other.field}}' AS prompt FROM customer""")
 def prompts(t):
     text = F.lit("Dear {{c.name}}, segment {{c.segment}}. {{other.field}}")
-    for name, column in (("c.name", "c_name"), ("c.segment", "c_mktsegment")):
-        text = F.replace(text, F.lit("{{" + name + "}}"), F.col(column))
-    return t.customer.select("c_custkey", text.alias("prompt"))
+    return t.customer.select("c_custkey", D.fill_template(text, {"c.name": F.col("c_name"), "c.segment": F.col("c_mktsegment")}).alias("prompt"))
 
 
 @query("e15_case_runner")
