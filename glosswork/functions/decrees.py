@@ -45,13 +45,8 @@ PLACE_LINE = r"(?iU)^(Bs\.?\s*As\.?|Buenos Aires)"
 HEADINGS = ["VISTO:", "VISTOS:", "CONSIDERANDO:", "CONSIDERANDO"]
 CITED = r"(?iU)\b(?:Decreto|Ley|Resoluci[oó]n|Decisi[oó]n Administrativa)\s*(?:N[°ºo]\s*)?([0-9]+(?:/[0-9]{2,4})?)"
 REFERENCE_ARTICLE = r"(?isU)\b(?:Art[íi]culo|Art\.)\s*(\d+)\s*[º°ª]?\s*[–—-]?\s*(.*?)(?=\b(?:Art[íi]culo|Art\.)\s*\d+\b|\bANEXO\b|\z)"
-CRITICAL = [
-    r"(?iU)[^.]{0,80}\bpr[oó]rrog\w*\b[^.]{0,140}",
-    r"(?iU)[^.]{0,80}\bdesignaci[oó]n\w*\b[^.]{0,140}",
-    r"(?iU)[^.]{0,80}\bces\w*\b[^.]{0,140}",
-    r"(?iU)[^.]{0,80}\b\d+\s+d[ií]as?\b[^.]{0,100}",
-    r"(?iU)[^.]{0,80}\bExpediente\b[^.]{0,120}",
-]
+CRITICAL = [(r"pr[oó]rrog\w*", 140), (r"designaci[oó]n\w*", 140), (r"ces\w*", 140), (r"\d+\s+d[ií]as?", 100), (r"Expediente", 120)]
+CRITICAL_LEAD = 80
 FOOTER = r"(?iU)https?://\S+|P[aá]gina\s+\d+|BOLET[IÍ]N\s+OFICIAL"
 TARGET = r"(?iU)\bDecreto\s+(?:N[º°o.]\s*)?(\d{1,5}/\d{2,4})\b"
 DATE_LINE = r"(?iU)\b(?:Bs\.\s*As\.|(?:Ciudad de\s+)?Buenos Aires),?\s+\d{1,2}/\d{1,2}/\d{2,4}\b"
@@ -261,6 +256,13 @@ def _heading_facts(lines: Column, title_chars: int) -> Column:
     return F.filter(found, lambda x: F.coalesce(x["text"], F.lit("")) != "")
 
 
+def _snippets(parts: Column, term: str, rest: int) -> Column:
+    """Each mention of a term with up to CRITICAL_LEAD characters before and rest after; parts hold no full stop, so none is crossed."""
+    core = r"\b" + term + r"\b"
+    around = f"(?iU)[^.]{{0,{CRITICAL_LEAD}}}{core}[^.]{{0,{rest}}}"
+    return F.flatten(F.transform(F.filter(parts, lambda x: x.rlike("(?iU)" + core)), lambda x: F.regexp_extract_all(x, F.lit(around), F.lit(0))))
+
+
 def _body_facts(lines: Column, organisations: int, snippets: int) -> Column:
     def articles(body):
         part = lambda i: F.regexp_extract_all(body, F.lit(REFERENCE_ARTICLE), F.lit(i))
@@ -271,7 +273,8 @@ def _body_facts(lines: Column, organisations: int, snippets: int) -> Column:
     def of_text(joined):
         start = F.instr(F.upper(joined), "DECRETA")
         norms = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(joined, F.lit(CITED), F.lit(1)), lambda x: comparison_form(x))))
-        critical = F.array_distinct(F.transform(F.concat(*(F.regexp_extract_all(joined, F.lit(p), F.lit(0)) for p in CRITICAL)), _squash))
+        around = let(F.split(joined, r"\."), lambda parts: F.concat(*(_snippets(parts, term, rest) for term, rest in CRITICAL)))
+        critical = F.array_distinct(F.transform(around, _squash))
         return F.concat(
             _numbered(norms, "normas_citadas", "norma"),
             let(F.when(start > 0, F.substr(joined, start)).otherwise(joined), articles),

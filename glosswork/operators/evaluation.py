@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glosswork.functions import decrees as D
 from glosswork.functions import text as T
 
 
@@ -133,6 +134,29 @@ def claim_match(field: Column, index: Column, value: Column, candidate: Column)
     return ~lost & met.otherwise(recall >= DISCLOSED_AT)
 
 
+# Words that do not count when a fact is sought in a draft.
+FACT_STOPWORDS = (
+    "a al ante con contra de del desde durante e el en entre es esta este la las lo los para por que se su sus un una y o u como "
+    "dicho dicha presente medida mismo misma segun decreto articulo articulos art nro nros numero numeros"
+).split()
+
+
+def reference_coverage(cases: DataFrame, case: str, reference: str, draft: str, threshold: float = 0.65) -> DataFrame:
+    """case, fact_id, field, covered: whether a draft holds each fact of its published decree.
+
+    A fact is held if it stands there as it is or the share of its words (over two
+    letters, no stop word) that the draft has reaches the threshold; one without
+    such words is not. The draft is normalised once, before its facts are unfolded.
+    """
+    words = lambda c: F.filter(T.token_set(c), lambda w: (F.length(w) > 2) & ~w.isin(*FACT_STOPWORDS))
+    held = cases.select(F.col(case), T.comparison_form(F.col(draft)).alias("_plain"), words(F.col(draft)).alias("_words"), D.reference_facts(F.col(reference)).alias("_facts"))
+    rows = held.select(case, "_plain", "_words", F.inline_outer("_facts")).where("fact_id is not null")
+    rows = rows.select(case, "fact_id", "field", "_plain", "_words", T.comparison_form(F.col("text")).alias("_fact"), words(F.col("text")).alias("_own"))
+    n = F.size("_own")
+    covered = (n > 0) & (F.contains("_plain", "_fact") | (F.try_divide(F.size(F.array_intersect("_own", "_words")), n) >= threshold))
+    return rows.select(case, "fact_id", "field", F.coalesce(covered, F.lit(False)).alias("covered"))
+
+
 def value_match(gold: Column, predicted: Column) -> dict[str, Column]:
     """tp, fp, fn, precision, recall, f1, exact of two arrays in which values may repeat."""
     times = lambda a, v: F.size(F.filter(a, lambda x: x == v))

@@ -67,6 +67,20 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, size: int, seed: in
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= size).drop("_rn")
 
 
+def filled_sample(df: DataFrame, stratum: str, key: str, size: int, seed: int) -> DataFrame:
+    """size rows in all (fewer only if there are fewer): an equal share, one at
+    least, of each stratum; what small strata leave open is filled from all rows.
+
+    No stratum gives more than size rows, which a group limit keeps below the
+    exchange; the fill is a top-k, not a sort of the table.
+    """
+    order = F.xxhash64(F.col(key), F.lit(seed))
+    strata = df.select(stratum).distinct().agg(F.greatest(F.lit(1), F.floor(F.try_divide(F.lit(size), F.count("*")))).alias("_share"))
+    ranked = stratified_sample(df, stratum, key, size, seed).withColumn("_rn", F.row_number().over(Window.partitionBy(stratum).orderBy(order, F.col(key))))
+    marked = ranked.join(F.broadcast(strata)).withColumn("_more", F.col("_rn") > F.col("_share"))
+    return marked.orderBy("_more", F.xxhash64(F.col(key), F.lit(seed + 1)), key).limit(size).drop("_rn", "_share", "_more")
+
+
 def merge_status(stored: DataFrame, incoming: DataFrame, key: Sequence[str], digest: str) -> DataFrame:
     """Incoming rows with outcome CREATED, UNCHANGED or UPDATED against stored ones."""
     held = stored.select(*(F.col(k).alias(f"_{k}") for k in key), F.col(digest).alias("_digest"))

@@ -385,6 +385,11 @@ def stratified_sample(t):
     return R.stratified_sample(t.documents.select("doc_id", "lang"), "lang", "doc_id", 10, 7)
 
 
+@query("k06_filled_sample")
+def filled_sample(t):
+    return R.filled_sample(t.documents.select("doc_id", "source"), "source", "doc_id", 100, 7)
+
+
 @query("k08_ordered_log", "SELECT event_id, ts, event_type FROM events WHERE user_id = 7 ORDER BY ts, event_id")
 def ordered_log(t):
     return t.events.where("user_id = 7").select("event_id", "ts", "event_type").orderBy("ts", "event_id")

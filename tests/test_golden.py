@@ -221,3 +221,13 @@ def test_files(spark, tmp_path):
     assert files.read_any(spark, str(tmp_path / "t.csv")).where("k = 1").first().s == 'a "q", b\nc'
     checks = files.envelope_checks(df, "k", 2).first()
     assert (checks.n, checks.status) == (2, "FULL") and checks.records_sha256 == files.envelope_checks(df.orderBy(F.desc("k")), "k", 2).first().records_sha256
+
+
+def test_filled_sample(spark):
+    rows = [(i, "big") for i in range(500)] + [(1000 + i, "small") for i in range(2)] + [(2000 + i, None) for i in range(40)]
+    df = spark.createDataFrame(rows, "id int, g string")
+    got = R.filled_sample(df, "g", "id", 60, 7).collect()
+    count = {g: sum(r.g == g for r in got) for g in ("big", "small", None)}
+    assert len(got) == len({r.id for r in got}) == 60 and count["small"] == 2 and count["big"] >= 20 and count[None] >= 20
+    assert {r.id for r in got} == {r.id for r in R.filled_sample(df, "g", "id", 60, 7).collect()}
+    assert R.filled_sample(df, "g", "id", 1000, 7).count() == 542 and R.filled_sample(df.where("id < 0"), "g", "id", 5, 7).count() == 0
