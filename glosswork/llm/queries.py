@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glosswork.llm import bpe, exact_dedup, licenses, media, packing, pii, quality, simhash, token_files, urls
+from glosswork.llm import bpe, exact_dedup, infill, licenses, media, packing, pii, quality, simhash, token_files, turn_tries, urls
 
 
 def queries():
@@ -17,6 +17,8 @@ def queries():
         "op8_token_files": token_files.query,
         "op9_rule_quality": quality.query,
         "op10_url_ngrams": urls.query,
+        "op12_turn_tries": turn_tries.query,
+        "op13_fill_in_middle": infill.query,
     }
 
 
@@ -24,4 +26,6 @@ def oracle_sql():
     return {
         "op3_content_sort_dedup": exact_dedup.SQL,
         "op4_license_sentences": licenses.SQL,
+        "op12_turn_tries": turn_tries.SQL,
+        "op13_fill_in_middle": infill.SQL,
     }
