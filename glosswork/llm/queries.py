@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glosswork.llm import bpe, exact_dedup, infill, licenses, media, packing, pii, quality, simhash, token_files, turn_tries, urls
+from glosswork.llm import bpe, exact_dedup, infill, licenses, media, packing, pii, quality, secret_layers, simhash, token_files, turn_tries, urls
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_token_files": token_files.query,
         "op9_rule_quality": quality.query,
         "op10_url_ngrams": urls.query,
+        "op11_secret_layers": secret_layers.query,
         "op12_turn_tries": turn_tries.query,
         "op13_fill_in_middle": infill.query,
     }
