@@ -219,8 +219,11 @@ class PrefixEncoder(Encoder):
 
 class BulkEncoder:
     """Byte-level BPE for counting and packing: the vocabulary of a tokenizers
-    file run by a compiled encoder; texts with special tokens go through the
-    library itself."""
+    file run by a compiled encoder; texts with special tokens or with more white
+    space in a row than that encoder's expressions bear go through the library itself."""
+
+    #: The compiled encoder fails at a million.
+    WHITE = re.compile(r"\s{100000}")
 
     def __init__(self, path: str):
         import tiktoken
@@ -239,8 +242,9 @@ class BulkEncoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of text as little-endian unsigned 32-bit integers."""
-        ids = self.library.encode(text, add_special_tokens=False).ids if "<|" in text else self.fast(text)
-        return array("I", ids).tobytes()
+        if "<|" in text or len(text) >= 100_000 and self.WHITE.search(text):
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.fast(text)).tobytes()
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         return list(map(self.encode, texts))

@@ -119,7 +119,10 @@ RESERVED = ["All rights reserved.", "All rights reserved"]
 CLASSES = ("noncommercial", "noderivatives", "copyleft", "permissive", "proprietary")
 
 _STOP = r"([.?;:]|[^!]!)[\"')\]]*[ \t\n\f\r]+"
-_BLANK = r"\n([^A-Za-z0-9\n]*\n)+"
+#: A line end, lines without a letter or digit, a line end. No repeated group: Java matches those by recursion.
+_BLANK = r"\n[^A-Za-z0-9]*\n"
+#: The same for the SQL, whose engine has no such bound.
+_SQL_BLANK = r"\n([^A-Za-z0-9\n]*\n)+"
 _OTHER = r"[^a-z0-9\n\f]+"
 #: Names of holders that known sentences hold.
 _HOLDERS = [
@@ -212,10 +215,19 @@ TABLE = licence_table()
 
 
 def _pattern(ids: tuple[int, ...]) -> str:
+    """Matches ids in order in a line of identifiers between commas.
+
+    The first place of each id is as good as any later one, so no place is tried
+    twice: time is linear in the line.
+    """
+    return "^" + "".join(f"(?>[0-9,]*?,{i}(?=,))" for i in ids)
+
+
+def _sql_pattern(ids: tuple[int, ...]) -> str:
     return "," + r",([0-9]+,)*".join(map(str, ids)) + ","
 
 
-def _merged(rules) -> dict[str, tuple[str, str, tuple[str, ...]]]:
+def _merged(rules, _pattern=_pattern) -> dict[str, tuple[str, str, tuple[str, ...]]]:
     """Per licence: class, one pattern of all its rules, the licences that it yields to."""
     out: dict[str, tuple[str, list[str], tuple[str, ...]]] = {}
     for name, kind, ids, unless in rules:
@@ -275,7 +287,7 @@ def query(spark, sf_dir):
 
 def _sql(licences: _Table = TABLE) -> str:
     known = ", ".join(f"'{s}': '{i}'" for s, i in licences.sentences.items())
-    merged = _merged(licences.rules)
+    merged = _merged(licences.rules, _sql_pattern)
     names = ", ".join(f"CASE WHEN regexp_matches(line, '{pattern}') THEN '{name}' END" for name, (_, pattern, _) in merged.items())
     stays = " AND ".join(f"NOT (x = '{n}' AND list_has_any(hits, [{', '.join(repr(u) for u in unless)}]))" for n, (_, _, unless) in merged.items() if unless)
     kinds = ", ".join(f"'{n}': '{k}'" for n, (k, _, _) in merged.items())
@@ -289,7 +301,7 @@ def _sql(licences: _Table = TABLE) -> str:
     stop = _STOP.replace("'", "''")
     return rf"""
 WITH cut AS (
-  SELECT doc_id, string_split(regexp_replace(lower(regexp_replace(regexp_replace(coalesce(text, ''), '{stop}', '' || chr(12), 'g'), '{_BLANK}', chr(12), 'g')), '{_OTHER}', ' ', 'g'), chr(12)) AS parts
+  SELECT doc_id, string_split(regexp_replace(lower(regexp_replace(regexp_replace(coalesce(text, ''), '{stop}', '' || chr(12), 'g'), '{_SQL_BLANK}', chr(12), 'g')), '{_OTHER}', ' ', 'g'), chr(12)) AS parts
   FROM documents),
 said AS (
   SELECT doc_id, list_filter(list_transform(parts, lambda s: list_filter(list_transform(string_split(s, chr(10)), lambda l: trim(l)), lambda l: l <> '')), lambda ls: len(ls) > 0) AS said
