@@ -86,48 +86,6 @@ def in_batch_outcomes(batch: DataFrame, identity: list[str], digest: str, order:
     return rows.withColumn("outcome", outcome).drop("_before", "_d", "_first")
 
 
-def contained(docs: DataFrame, passages: DataFrame, key: str, text: str, item: str, passage: str, words: int = 5) -> DataFrame:
-    """key, item for every passage that is a substring of a text, whatever the case.
-
-    Candidates come from an equi-join: a passage names one window of words (that
-    of the least hash), and texts offer those of their windows that a bit map of
-    the named ones lets through, so few windows leave a row. Only pairs that meet
-    are compared in full. The map has a fixed size (2 MB at most) whatever the
-    passages; the joins are left to Spark, which broadcasts a side by its size. A
-    passage that is too short for a whole window inside meets every text.
-    """
-    flat = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-
-    def windows(a):
-        """Hashes of all windows of words, from those of the words."""
-        at = lambda hs, i: F.xxhash64(*(F.get(hs, i + j) for j in range(words)))
-        return T.let(F.transform(a, lambda w: F.xxhash64(w)), lambda hs: F.transform(F.sequence(F.lit(0), F.size(hs) - words), lambda i: at(hs, i)))
-
-    named = passages.select(F.col(item).alias("_item"), F.lower(passage).alias("_p"), flat(F.col(passage)).alias("_w"))
-    inner = F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0)))
-    keyed = named.where(F.size("_w") >= words + 2).select("_item", "_p", F.array_min(windows(inner)).alias("_h"))
-    count = keyed.count()
-    bits = 1 << min(24, max(12, (64 * count).bit_length()))
-    marks = keyed.select(F.pmod("_h", F.lit(bits)).alias("b")).selectExpr("b div 64 as w", "shiftleft(1L, cast(b % 64 as int)) as x").groupBy("w").agg(F.bit_or("x").alias("x"))
-    dense = docs.sparkSession.range(bits // 64).join(marks, F.col("id") == F.col("w"), "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("x", F.lit(0).cast("long")).alias("x")))).alias("d"))
-    dense = dense.select(F.transform("d", lambda r: r["x"]).alias("_m"))
-
-    def marked(h):
-        b = F.pmod(h, F.lit(bits))
-        return F.getbit(F.get("_m", F.floor(b / 64).cast("int")), (b % 64).cast("int")) == 1
-
-    own = docs.select(F.col(key).alias("_key"), flat(F.col(text)).alias("_w")).where(F.size("_w") >= words)
-    offered = own.crossJoin(dense).select("_key", F.explode(F.filter(windows(F.col("_w")), marked)).alias("_h"))
-    met = offered.join(keyed.select("_item", "_h"), "_h").select("_key", "_item").distinct()
-    # Only pairs that met are compared; texts don't travel with their windows.
-    texts = docs.select(F.col(key).alias("_key"), F.lower(text).alias("_t"))
-    hits = texts.join(met, "_key").join(keyed.select("_item", "_p"), "_item").where(F.col("_t").contains(F.col("_p"))).select("_key", "_item")
-    short = named.where(F.size("_w") < words + 2).select("_item", "_p")
-    if not short.isEmpty():
-        hits = hits.unionByName(texts.join(short, F.col("_t").contains(F.col("_p"))).select("_key", "_item"))
-    return hits.distinct().select(F.col("_key").alias(key), F.col("_item").alias(item))
-
-
 def hash_embedding(text: Column, dims: int) -> Column:
     """Deterministic vector: byte i mod 32 of the SHA-256, over 127.5, less one."""
     digest = F.sha2(text, 256)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
 from glosswork.operators import corpus as C
+from glosswork.operators import overlap as V
 from glosswork.operators import relational as R
 from glosswork.plans.registry import query
 from glosswork.sources import files
@@ -184,12 +185,21 @@ def merge_classify(t):
 
 @query("j07_leakage_contains", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
 def leakage_contains(t):
-    return C.contained(t.documents, t.benchmark, "doc_id", "text", "item_id", "text")
+    return V.contained(t.documents, t.benchmark, "doc_id", "text", "item_id", "text")
+
+
+@query("j07_token_overlap", r"""
+WITH d AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS a FROM documents),
+b AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')) AS s FROM benchmark)
+SELECT doc_id, item_id, len(list_intersect(a, s)) / len(s) AS overlap FROM d, b WHERE len(s) > 0 AND len(list_intersect(a, s)) / len(s) >= 0.5""")
+def leakage_token_overlap(t):
+    """Texts that hold at least half of a held-out passage's distinct words."""
+    return V.overlapping(t.documents, t.benchmark, "doc_id", "text", "item_id", "text", 0.5)
 
 
 @query("p13_leak_filter", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE contains(lower(d.text), lower(b.text)))")
 def leak_filter(t):
-    hits = C.contained(t.documents, t.benchmark, "doc_id", "text", "item_id", "text").select("doc_id").distinct()
+    hits = V.contained(t.documents, t.benchmark, "doc_id", "text", "item_id", "text").select("doc_id").distinct()
     return t.documents.select("doc_id").join(hits, "doc_id", "left_anti")
 
 

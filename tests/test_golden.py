@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from glosswork.functions import text as T
 from glosswork.operators import corpus as C
 from glosswork.operators import evaluation as E
+from glosswork.operators import overlap
 from glosswork.operators import reconcile as Q
 from glosswork.operators import relational as R
 from glosswork.operators import retrieval as V
@@ -149,7 +150,7 @@ def test_contained_equals_substring(spark):
     words = ["aa", "b", "cc", "d", "e"]
     docs = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(40)]
     items = [(j, " ".join(docs[rng.randrange(40)][1].split()[3 : 3 + n])) for j, n in enumerate([2, 5, 6, 7, 8, 12, 20, 7])] + [(99, "B CC")]
-    got = {(r.k, r.j) for r in C.contained(spark.createDataFrame(docs, "k int, t string"), spark.createDataFrame(items, "j int, p string"), "k", "t", "j", "p").collect()}
+    got = {(r.k, r.j) for r in overlap.contained(spark.createDataFrame(docs, "k int, t string"), spark.createDataFrame(items, "j int, p string"), "k", "t", "j", "p").collect()}
     assert got == {(k, j) for k, t in docs for j, p in items if p.lower() in t.lower()}
 
 
