@@ -266,135 +266,3 @@ def wilcoxon_tests(pairs: DataFrame, exact_to: int = 20) -> DataFrame:
     minus = F.col("n") * (F.col("n") + 1) / 2 - F.col("w_plus")
     ps = [column(rule)("n", "w_plus", "ties").alias(name) for rule, name in ((whole, "p_exact"), (half, "p_half_ties"))]
     return rows.select("run_a", "run_b", "n", "w_plus", minus.alias("w_minus"), *ps, method.alias("method"))
-
-
-def _resample(resamples: int, seed: int, cells: int = 1 << 22):
-    """A function (values, counts) -> resampled means, one row a resample.
-
-    values has a row for each distinct value or vector of values. Draws are
-    multinomial counts over those, a block of resamples at a time, so memory is
-    bounded by the distinct values, and all columns of a vector share their draws.
-    """
-
-    def means(values, counts):
-        import numpy as np
-
-        total, rng = int(counts.sum()), np.random.default_rng(seed)
-        step = max(1, cells // max(1, len(counts)))
-        blocks = [rng.multinomial(total, counts / total, min(step, resamples - at)) @ values / total for at in range(0, resamples, step)]
-        return np.concatenate(blocks)
-
-    return means
-
-
-def _kinds(df: DataFrame, keys: Sequence[str]) -> str:
-    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-
-
-def bootstrap(deltas: DataFrame, keys: Sequence[str], value: str, resamples: int = 2000, seed: int = 20260825, plus_one: bool = False, quantiles: str = "linear") -> DataFrame:
-    """keys, mean, low, high, p: percentile bootstrap of the mean, one task a group.
-
-    Groups hold one value per paired case and are counted before they are
-    gathered. quantiles is NumPy's method: "linear", or "lower" for the truncated
-    position.
-    """
-    counts = deltas.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    means_of = _resample(resamples, seed)
-
-    def draw(frame):
-        import numpy as np
-        import pandas as pd
-
-        frame = frame.sort_values(value)
-        v, n = frame[value].to_numpy(float), frame["n"].to_numpy(np.int64)
-        means = means_of(v, n)
-        low, high = np.quantile(means, [0.025, 0.975], method=quantiles)
-        extra = 1 if plus_one else 0
-        tail = min((means <= 0).sum(), (means >= 0).sum())
-        p = min(1.0, 2 * (tail + extra) / (resamples + extra))
-        row = {k: [frame[k].iloc[0]] for k in keys}
-        return pd.DataFrame(row | {"mean": [float((v * n).sum() / n.sum())], "low": [float(low)], "high": [float(high)], "p": [float(p)]})
-
-    return counts.groupBy(*keys).applyInPandas(draw, f"{_kinds(deltas, keys)}, mean double, low double, high double, p double")
-
-
-def bootstrap_bca(rows: DataFrame, keys: Sequence[str], value: str, resamples: int = 2000, seed: int = 20260825, level: float = 0.95) -> DataFrame:
-    """keys, n, mean, low, high, method, fallback: bias-corrected and accelerated interval of the mean.
-
-    The jackknife of a mean is known from the distinct values and their counts.
-    Where the correction isn't defined (one value, or all equal), the percentile
-    interval stands, method is "percentile" and fallback says why.
-    """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    means_of = _resample(resamples, seed)
-
-    def places(v, n, mean, means):
-        from statistics import NormalDist
-
-        normal, size, tail = NormalDist(), int(n.sum()), (1 - level) / 2
-        if size < 2:
-            return None
-        apart = (v - mean) / (size - 1)
-        square = float((n * apart**2).sum())
-        if square <= 0:
-            return None
-        skew = float((n * apart**3).sum()) / (6 * square**1.5)
-        edge = 1 / (2 * (resamples + 1))
-        below = float((means < mean).mean() + (means == mean).mean() / 2)
-        shift = normal.inv_cdf(min(1 - edge, max(edge, below)))
-        found = []
-        for raw in (tail, 1 - tail):
-            moved = shift + normal.inv_cdf(raw)
-            if skew * moved == 1:
-                return None
-            found.append(normal.cdf(shift + moved / (1 - skew * moved)))
-        return found if found[0] <= found[1] else None
-
-    def draw(frame):
-        import numpy as np
-        import pandas as pd
-
-        frame = frame.sort_values(value)
-        v, n = frame[value].to_numpy(float), frame["n"].to_numpy(np.int64)
-        means, mean = means_of(v, n), float((v * n).sum() / n.sum())
-        at = places(v, n, mean, means)
-        low, high = np.quantile(means, at or [(1 - level) / 2, (1 + level) / 2])
-        row = {k: [frame[k].iloc[0]] for k in keys}
-        why = None if at else "DEGENERATE_SAMPLE"
-        return pd.DataFrame(row | {"n": [int(n.sum())], "mean": [mean], "low": [float(low)], "high": [float(high)], "method": ["bca" if at else "percentile"], "fallback": [why]})
-
-    return counts.groupBy(*keys).applyInPandas(draw, f"{_kinds(rows, keys)}, n long, mean double, low double, high double, method string, fallback string")
-
-
-def bootstrap_shared(deltas: DataFrame, keys: Sequence[str], metrics: Sequence[str], resamples: int = 2000, seed: int = 20260825) -> DataFrame:
-    """keys, metric, n, mean, low, high, p: the metrics of a case are drawn together.
-
-    A case without one of the metrics takes no part.
-    """
-    whole = deltas.dropna(subset=list(metrics))
-    counts = whole.groupBy(*keys, *metrics).agg(F.count("*").alias("n"))
-    means_of = _resample(resamples, seed)
-
-    def draw(frame):
-        import numpy as np
-        import pandas as pd
-
-        frame = frame.sort_values(list(metrics))
-        v, n = frame[list(metrics)].to_numpy(float), frame["n"].to_numpy(np.int64)
-        means = means_of(v, n)
-        low, high = np.quantile(means, [0.025, 0.975], axis=0)
-        p = np.minimum(1.0, 2 * np.minimum((means <= 0).mean(axis=0), (means >= 0).mean(axis=0)))
-        row = {k: [frame[k].iloc[0]] * len(metrics) for k in keys}
-        return pd.DataFrame(row | {"metric": list(metrics), "n": [int(n.sum())] * len(metrics), "mean": n @ v / n.sum(), "low": low, "high": high, "p": p})
-
-    return counts.groupBy(*keys).applyInPandas(draw, f"{_kinds(deltas, keys)}, metric string, n long, mean double, low double, high double, p double")
-
-
-def pareto(df: DataFrame, key: str, objectives: Sequence[str]) -> DataFrame:
-    """Rows that no other row dominates (at least as high everywhere, higher somewhere)."""
-    other = df.select(*(F.col(c).alias(f"_{c}") for c in objectives))
-    all_ge, some_gt = F.lit(True), F.lit(False)
-    for c in objectives:
-        all_ge = all_ge & (F.col(f"_{c}") >= F.col(c))
-        some_gt = some_gt | (F.col(f"_{c}") > F.col(c))
-    return df.join(other, all_ge & some_gt, "left_anti")

@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from glosswork.operators import relational as R
+from glosswork.operators import resampling as B
 from glosswork.operators import statistics as S
+from glosswork.operators.skyline import pareto
 from glosswork.plans.registry import query
 
 _CASES = """
@@ -107,23 +109,23 @@ def wilcoxon_p(t):
 
 @query("t12_bootstrap_mean")
 def bootstrap_mean(t):
-    return S.bootstrap_bca(t.lineitem.select("l_returnflag", "l_discount"), ["l_returnflag"], "l_discount")
+    return B.bootstrap_bca(t.lineitem.select("l_returnflag", "l_discount"), ["l_returnflag"], "l_discount")
 
 
 @query("t13_t14_paired_bootstrap")
 def paired_bootstrap(t):
-    return S.bootstrap(_deltas(t), ["run_a", "run_b"], "d", plus_one=True)
+    return B.bootstrap(_deltas(t), ["run_a", "run_b"], "d", plus_one=True)
 
 
 @query("t14_shared_bootstrap")
 def shared_bootstrap(t):
     both = _deltas(t).withColumn("won", F.when(F.col("d") > 0, 1.0).when(F.col("d") < 0, -1.0).otherwise(0.0))
-    return S.bootstrap_shared(both, ["run_a", "run_b"], ["d", "won"])
+    return B.bootstrap_shared(both, ["run_a", "run_b"], ["d", "won"])
 
 
 @query("t15_bootstrap_plus_one")
 def bootstrap_plus_one(t):
-    return S.bootstrap(_deltas(t), ["run_a", "run_b"], "d", resamples=500, plus_one=True, quantiles="lower")
+    return B.bootstrap(_deltas(t), ["run_a", "run_b"], "d", resamples=500, plus_one=True, quantiles="lower")
 
 
 @query("t16_t18_effects", _CASES + """
@@ -305,9 +307,9 @@ def trimmed_mean(t):
 @query("j19_pareto", """
 WITH s AS (SELECT s_nationkey AS k, count(*) AS n, round(avg(s_acctbal), 2) AS b, max(s_acctbal) AS m FROM supplier GROUP BY 1)
 SELECT k, n, b, m FROM s x WHERE NOT EXISTS (SELECT 1 FROM s y WHERE y.n >= x.n AND y.b >= x.b AND y.m >= x.m AND (y.n > x.n OR y.b > x.b OR y.m > x.m))""")
-def pareto(t):
+def pareto_front(t):
     s = t.supplier.groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n"), F.round(F.avg("s_acctbal"), 2).alias("b"), F.max("s_acctbal").alias("m"))
-    return S.pareto(s, "k", ["n", "b", "m"])
+    return pareto(s, ["n", "b", "m"])
 
 
 @query("u05_scenario_sets", """

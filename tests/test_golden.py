@@ -13,6 +13,7 @@ from glosswork.operators import overlap
 from glosswork.operators import reconcile as Q
 from glosswork.operators import relational as R
 from glosswork.operators import retrieval as V
+from glosswork.operators import resampling
 from glosswork.operators import statistics as S
 from glosswork.operators.ranks import group_position
 from glosswork.sources import files
@@ -71,7 +72,7 @@ def test_mcnemar(spark):
 
 def test_bootstrap_is_seeded(spark):
     df = spark.createDataFrame([("g", float(i % 7 - 2)) for i in range(400)], "g string, d double")
-    a, b = (S.bootstrap(df, ["g"], "d", resamples=300).first() for _ in range(2))
+    a, b = (resampling.bootstrap(df, ["g"], "d", resamples=300).first() for _ in range(2))
     assert a == b and a.low < a["mean"] < a.high and a.p < 0.05
 
 

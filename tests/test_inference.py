@@ -8,6 +8,7 @@ from statistics import NormalDist
 import numpy as np
 import pytest
 
+from glosswork.operators import resampling
 from glosswork.operators import statistics as S
 
 
@@ -62,7 +63,7 @@ def test_bca(spark):
     skewed = [rng.expovariate(1.0) for _ in range(80)]
     rows = [("skewed", x) for x in skewed] + [("same", 2.0)] * 6 + [("one", 3.0), ("one", None)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = {r.g: r for r in S.bootstrap_bca(df, ["g"], "v", resamples=4000).collect()}
+    got = {r.g: r for r in resampling.bootstrap_bca(df, ["g"], "v", resamples=4000).collect()}
     assert [(got[g].method, got[g].fallback, got[g].low, got[g].high) for g in ("same", "one")] == [("percentile", "DEGENERATE_SAMPLE", v, v) for v in (2.0, 3.0)]
     r = got["skewed"]
     assert (r.method, r.fallback, r.n) == ("bca", None, 80) and r["mean"] == pytest.approx(np.mean(skewed))
@@ -75,14 +76,14 @@ def test_bca(spark):
     z0 = NormalDist().inv_cdf((means < x.mean()).mean())
     want = [np.quantile(means, NormalDist().cdf(z0 + (z0 + z) / (1 - a * (z0 + z)))) for z in (-S.Z, S.Z)]
     assert [r.low, r.high] == pytest.approx(want, abs=0.03)
-    plain = S.bootstrap(df.where("g = 'skewed'"), ["g"], "v", resamples=4000).first()
+    plain = resampling.bootstrap(df.where("g = 'skewed'"), ["g"], "v", resamples=4000).first()
     assert r.low > plain.low and r.high > plain.high
 
 
 def test_shared_draws(spark):
     rng = random.Random(3)
     rows = [("g", x, 2 * x) for x in (rng.gauss(0.2, 1) for _ in range(150))] + [("g", 50.0, None)]
-    got = {r.metric: r for r in S.bootstrap_shared(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], ["x", "y"], resamples=500).collect()}
+    got = {r.metric: r for r in resampling.bootstrap_shared(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], ["x", "y"], resamples=500).collect()}
     x, y = got["x"], got["y"]
     assert x.n == y.n == 150
     for name in ("mean", "low", "high"):
@@ -91,12 +92,13 @@ def test_shared_draws(spark):
 
 
 def test_blocks_of_draws_do_not_change_them():
-    v, n = np.arange(5.0), np.array([3, 1, 4, 1, 5])
-    assert (S._resample(100, 7)(v, n) == S._resample(100, 7, cells=10)(v, n)).all()
+    v, n, held = np.arange(5.0)[:, None], np.array([3, 1, 4, 1, 5]), np.full(100, 14)
+    assert (resampling.sums_of(v, n, held, [7]) == resampling.sums_of(v, n, held, [7], block=10)).all()
 
 
 def test_lower_quantiles(spark):
     df = spark.createDataFrame([("g", float(i % 5)) for i in range(40)], "g string, d double")
-    means = np.sort(S._resample(101, 20260825)(np.arange(5.0), np.full(5, 8)))
-    r = S.bootstrap(df, ["g"], "d", resamples=101, plus_one=True, quantiles="lower").first()
+    drawn, _ = resampling.resampled(df, ["g"], ["d"], 101, 20260825)
+    means = np.sort([r._s_0 / 40 for r in drawn.collect()])
+    r = resampling.bootstrap(df, ["g"], "d", resamples=101, plus_one=True, quantiles="lower").first()
     assert (r.low, r.high) == (means[int(0.025 * 100)], means[int(0.975 * 100)])
