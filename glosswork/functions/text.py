@@ -7,6 +7,9 @@ case folding run as Arrow functions; everything else is a JVM expression.
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -54,10 +57,36 @@ ENTITIES = [
 ]
 NOISE_ACRONYMS = ["TP", "FP", "FN", "PDF", "JSON", "HTTP", "UTC"]
 
-#: Letters with a mark and their bases, for texts in Latin-1 and Latin Extended-A.
-MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-BARE = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+#: Stop words of faithfulness tokens.
+FAITHFULNESS_STOPWORDS = [
+    "a", "al", "ante", "con", "contra", "de", "del", "desde", "durante", "e", "el", "ella", "ellas", "ellos", "en", "entre", "es", "esta", "este", "estos",
+    "la", "las", "lo", "los", "of", "on", "or", "para", "por", "que", "se", "segun", "sin", "su", "sus", "the", "to", "un", "una", "y", "and",
+]
+
+# --- end of fixed values ----------------------------------------------------
+
 
+def _bases(form: str, codes) -> tuple[str, str]:
+    """Characters of codes whose normal form without marks is one other character, and those characters."""
+    pairs = []
+    for c in map(chr, codes):
+        plain = "".join(x for x in unicodedata.normalize(form, c) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain != c:
+            pairs.append((c, plain))
+    return "".join(c for c, _ in pairs), "".join(p for _, p in pairs)
+
+
+#: Marked letters and their bases: Latin-1, and all of the basic plane without Hangul and Han.
+MARKED, BARE = _bases("NFD", range(0x80, 0x100))
+WIDE_MARKED, WIDE_BARE = _bases("NFD", [*range(0x80, 0x3000)])
+#: Besides marks, forms for compatibility of letters and digits (raised, circled, full-width).
+ALIKE, ALIKE_BARE = (
+    "".join(x)
+    for x in zip(*((c, p) for c, p in zip(*_bases("NFKD", [*range(0x80, 0x3300), *range(0xFF01, 0xFF5F)]), strict=True) if re.match("[A-Za-z0-9]", p)), strict=True)
+)
+#: Ligatures, digraphs and fractions: one character that stands for several.
+JOINED = {c: unicodedata.normalize("NFKD", c) for c in map(chr, [0xBC, 0xBD, 0xBE, 0x132, 0x133, 0x13F, 0x140, 0x149, *range(0x1C4, 0x1CD), *range(0x1F1, 0x1F4), *range(0x2150, 0x215F), *range(0xFB00, 0xFB07)])}
+COMBINING = "[" + "".join(c for c in map(chr, [*range(0x300, 0x3100), *range(0xFE20, 0xFE30)]) if all(map(unicodedata.combining, unicodedata.normalize("NFKD", c)))) + "]"
 
 
 def let(value: Column, body) -> Column:
@@ -94,16 +123,27 @@ def unicode_form(form: str, fold: bool = False, strip_marks: bool = False):
 
 
 def strip_accents(text: Column) -> Column:
-    """Marked Latin letters to their bases, without leaving the JVM."""
-    return F.translate(text, MARKED, BARE)
+    """Marked letters to their bases, written as one character or as two, without leaving the JVM."""
+    wide = F.translate(F.regexp_replace(text, COMBINING, ""), WIDE_MARKED, WIDE_BARE)
+    return F.when(text.rlike(r"[^\x00-\xFF]"), wide).otherwise(F.translate(text, MARKED, BARE))
 
 
 def comparison_form(text: Column, exact: bool = False) -> Column:
     """Lower-case letters and digits of the text, words parted by one space.
 
-    exact: by NFKD for any script; otherwise by the table of Latin letters.
+    exact: by NFKD in an Arrow function; otherwise by tables that hold the same
+    for all letters and digits but a few (mathematical alphabets, units of
+    measure written as one character).
     """
-    plain = unicode_form("NFKD", strip_marks=True)(text) if exact else strip_accents(text)
+    if exact:
+        plain = unicode_form("NFKD", strip_marks=True)(text)
+    else:
+        apart = text
+        for c, parts in JOINED.items():
+            apart = F.replace(apart, F.lit(c), F.lit(parts))
+        apart = F.when(text.rlike(f"[{''.join(JOINED)}]"), apart).otherwise(text)
+        alike = F.translate(F.regexp_replace(apart, COMBINING, ""), ALIKE, ALIKE_BARE)
+        plain = F.when(text.rlike(r"[^\x00-\xBB\xBF-\xFF]|[\xAA\xB2\xB3\xB9\xBA]"), alike).otherwise(F.translate(text, MARKED, BARE))
     return F.trim(F.regexp_replace(F.lower(plain), r"[^a-z0-9]+", " "))
 
 
@@ -112,7 +152,7 @@ def semantic_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(unicode_form("NFKC", fold=True)(text), r"(?U)\s+", " "))
 
 
-def faithfulness_tokens(text: Column, stopwords: list[str]) -> Column:
+def faithfulness_tokens(text: Column, stopwords: list[str] = FAITHFULNESS_STOPWORDS) -> Column:
     plain = F.lower(unicode_form("NFKD", strip_marks=True)(F.replace(text, F.lit("\0"), F.lit(" "))))
     words = F.regexp_extract_all(plain, F.lit(r"(?U)\w+"), F.lit(0))
     return F.filter(words, lambda w: ~w.isin(*stopwords)) if stopwords else words

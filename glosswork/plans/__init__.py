@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glosswork.plans import corpus, evaluation, flows, reconcile, relational, retrieval, statistics
+from glosswork.plans import corpus, evaluation, evaluators, flows, reconcile, relational, retrieval, statistics
 from glosswork.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corpus", "evaluation", "flows", "reconcile", "relational", "retrieval", "statistics"]
+__all__ = ["ORACLES", "QUERIES", "corpus", "evaluation", "evaluators", "flows", "reconcile", "relational", "retrieval", "statistics"]

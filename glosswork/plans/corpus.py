@@ -87,7 +87,7 @@ def snapshot_manifest(t):
 
 @query("n01_corpus_normaliser")
 def corpus_normaliser(t):
-    rows = t.documents.select("doc_id", T.normalize_corpus(F.col("text"), nfc=False).alias("r"))
+    rows = t.documents.select("doc_id", T.normalize_corpus(F.col("text")).alias("r"))
     return rows.select("doc_id", F.sha2("r.content", 256).alias("digest"), "r.controls_removed", "r.lines_removed", "r.bom_removed", "r.endings_changed")
 
 
@@ -104,7 +104,7 @@ def semantic_form(t):
 
 @query("n04_faithfulness_tokens")
 def faithfulness_tokens(t):
-    return t.conversations.select("conv_id", "turn", F.size(T.faithfulness_tokens(F.col("text"), ["the", "a", "of", "el", "la", "de"])).alias("n"))
+    return t.conversations.select("conv_id", "turn", F.size(T.faithfulness_tokens(F.col("text"))).alias("n"))
 
 
 @query("n05_canonical_code", "SELECT p_partkey, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '_') AS code FROM part")
