@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glosswork.functions import markup
 from glosswork.functions import text as T
 from glosswork.operators import corpus as C
 from glosswork.operators import overlap as V
@@ -31,6 +32,18 @@ def html_visible(t):
     return t.pages.select("page_id", T.visible_text(F.col("html")).alias("v")).select("page_id", F.length("v").alias("n_chars"), F.sha2("v", 256).alias("digest"))
 
 
+@query("s04_html_walked", r"""
+WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>|<noscript\b[^>]*>.*?</noscript\s*>|<template\b[^>]*>.*?</template\s*>|<nav\b[^>]*>.*?</nav\s*>|<footer\b[^>]*>.*?</footer\s*>|<head\b[^>]*>.*?</head\s*>', '', 'g'), '(?is)<!--.*?-->', '', 'g') AS x FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(x, '(?i)</?(?:address|article|br|dd|div|dl|dt|h[1-4]|li|p|section|tr)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM a),
+c AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS x FROM b),
+d AS (SELECT page_id, trim(regexp_replace(regexp_replace(x, '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS v FROM c)
+SELECT page_id, length(v) AS n_chars, sha256(v) AS digest FROM d""")
+def html_walked(t):
+    """Visible text by a walk over marks: nesting, open tags and all references to characters."""
+    rows = t.pages.select("page_id", markup.visible_text()("html").alias("v"))
+    return rows.select("page_id", F.length("v").cast("long").alias("n_chars"), F.sha2("v", 256).alias("digest"))
+
+
 @query("s05_mime_sniff", r"""
 SELECT page_id, regexp_matches(html, '(?i)<(?:!doctype html|html|body|p|div|h1)\b') AS is_html, regexp_matches(html, '^\s*[\[{]') AS is_json FROM pages""")
 def mime_sniff(t):
