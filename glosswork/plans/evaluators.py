@@ -6,11 +6,15 @@ from pyspark.sql import functions as F
 
 from glosswork.functions import decrees as D
 from glosswork.functions import nested as N
+from glosswork.functions.canonical import seal_holds, sealed
 from glosswork.operators import evaluation as E
 from glosswork.operators import fields as X
+from glosswork.operators import schema as S
 from glosswork.operators import semantic as M
 from glosswork.plans.evaluation import _turns
 from glosswork.plans.registry import query
+from glosswork.session import scratch
+from glosswork.sources import cases as K
 
 #: Fields that any text may have: mail addresses, numbers of four digits or more, dotted numbers.
 TEXT_FIELDS = {"mail": "[a-z0-9._-]+@[a-z0-9.-]+", "number": "[0-9]{4,}", "dotted": "[0-9]+[.][0-9]+[.][0-9]+"}
@@ -89,3 +93,50 @@ def grounded_claims(t):
 def bert_score(t):
     rows = _turns(t)
     return M.bert_score(rows, ["conv_id", "turn"], "answer", "prompt")
+
+
+EVENT_SCHEMA = {"type": "object", "required": ["k"], "properties": {"k": {"$ref": "#/$defs/small"}}, "additionalProperties": False, "$defs": {"small": {"type": "integer", "minimum": 0, "maximum": 5}}}
+
+
+@query("f22_compiled_schema", """
+SELECT event_id, CASE WHEN props IS NULL OR NOT json_valid(props) THEN NULL WHEN json_type(props) <> 'OBJECT' THEN 1
+  ELSE len(list_filter(json_keys(props), lambda x: x <> 'k')) + CASE WHEN NOT list_contains(json_keys(props), 'k') THEN 1
+    WHEN json_type(props, '$.k') NOT IN ('BIGINT', 'UBIGINT') THEN 1 ELSE CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) NOT BETWEEN 0 AND 5 AS INTEGER) END END AS errors FROM events""")
+def compiled_schema(t):
+    return t.events.select("event_id", S.violations(EVENT_SCHEMA, F.col("props")).cast("long").alias("errors"))
+
+
+@query("s12_s14_run_cases", """
+SELECT conv_id + 1 AS case_number, 'case-' || lpad(CAST(conv_id + 1 AS VARCHAR), CAST(greatest(4, length(CAST(conv_id + 1 AS VARCHAR))) AS INTEGER), '0') || '.json' AS file,
+       sha256('{"case_number":' || (conv_id + 1) || ',"turns":' || count(*) || '}') AS sha256
+FROM conversations WHERE conv_id >= 20 GROUP BY conv_id""")
+def run_cases(t):
+    """Conversations written as a run and read by number; files of the first twenty are never opened."""
+    folder = scratch(t.spark, "run")
+    number = (F.col("conv_id") + 1).cast("int")
+    cases = t.conversations.groupBy(number.alias("case_number")).agg(F.count("*").alias("turns"))
+    payload = F.to_json(F.struct("case_number", "turns"))
+    K.write_run(cases.select("case_number", payload.alias("payload")), folder, {"table": "conversations"})
+    return K.read_run(t.spark, folder).where("case_number > 20").select(F.col("case_number").cast("long").alias("case_number"), "file", "sha256")
+
+
+@query("s13_content_cache", """
+SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars, 1 AS misses, 2 AS hits FROM documents GROUP BY source""")
+def content_cache(t):
+    """One computation and two readings of the same result, whatever the order of the input's rows."""
+    cache = K.Cache(t.spark, scratch(t.spark, "cache"))
+    docs = t.documents.select("doc_id", "source", "n_chars")
+    totals = lambda d: d.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").cast("long").alias("chars"))
+    for same in (docs, docs.repartition(3), docs.orderBy(F.desc("doc_id"))):
+        found = cache.get("totals", {"by": "source"}, [same], totals)
+    return found.select("source", "n", "chars", F.lit(cache.misses).alias("misses"), F.lit(cache.hits).alias("hits"))
+
+
+@query("n08_s17_sealed_records", """
+SELECT o_orderkey, sha256('{"buyer":{"id":' || o_custkey || ',"marks":["' || array_to_string(list_sort([o_orderstatus, o_orderpriority]), '","') || '"]},"day":"' || strftime(o_orderdate, '%Y-%m-%d') || '","o_orderkey":' || o_orderkey || ',"price":' || CAST(o_totalprice AS DOUBLE) || '}') AS record_sha256, true AS holds FROM orders""")
+def sealed_records(t):
+    """Nested records with the digest of their own canonical JSON, checked by computing it again."""
+    marks = F.array("o_orderstatus", "o_orderpriority")
+    rows = t.orders.select("o_orderkey", F.struct(marks.alias("marks"), F.col("o_custkey").alias("id")).alias("buyer"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").cast("double").alias("price"))
+    kept = sealed(rows, sets=["buyer.marks"])
+    return kept.select("o_orderkey", "record_sha256", seal_holds(kept, sets=["buyer.marks"]).alias("holds"))
