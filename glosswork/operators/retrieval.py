@@ -100,6 +100,38 @@ def top_k(
     return ranked.select(F.col("q").alias(query_id), F.col("tie.id").alias(chunk_id), clamp(F.col("raw")).alias("score"), "rank")
 
 
+def above(queries: DataFrame, chunks: DataFrame, minimum: float, query_id: str = "query_id", chunk_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, n, best: how many chunks reach a clamped cosine of minimum for each query that has any, itself excluded.
+
+    Blocks meet as in top_k(); each pair of blocks gives one row a query.
+    """
+    first = chunks.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+    fits = F.size(vector) == (first[0] if first else 0)
+    right = _blocks(chunks.where(fits), chunk_id, vector, CHUNK_BLOCK, "c")
+    left = _blocks(queries.where(fits), query_id, vector, QUERY_BLOCK, "q")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def block(cell):
+            rows = cell.values
+            v = np.array(rows.field("v").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), -1)
+            norm = np.linalg.norm(v, axis=1, keepdims=True)
+            return rows.field("tie").field("id").to_numpy(zero_copy_only=False), v / np.where(norm > 0, norm, np.nan)
+
+        for batch in batches:
+            for asked, there in zip(batch.column("q"), batch.column("c"), strict=True):
+                (ids, q), (others, m) = block(asked), block(there)
+                score = np.clip(np.round(q @ m.T, 12), 0.0, 1.0)
+                held = (score >= minimum) & (ids[:, None] != others[None, :])
+                best = np.where(held, score, -1.0).max(axis=1, initial=-1.0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(held.sum(axis=1)), pa.array(best)], names=["q", "n", "best"])
+
+    met = left.crossJoin(right).mapInArrow(run, "q long, n long, best double").where("n > 0")
+    return met.groupBy(F.col("q").alias(query_id)).agg(F.sum("n").alias("n"), F.max("best").alias("best"))
+
+
 def diversify(ranked: DataFrame, query: str, document: str, section: str, per_document: int = 2, per_section: int = 1) -> DataFrame:
     """Adds disposition and context_rank: at most so many chunks per section, then per document.
 

@@ -9,6 +9,7 @@ from glosswork.functions import nested as N
 from glosswork.functions.canonical import seal_holds, sealed
 from glosswork.operators import evaluation as E
 from glosswork.operators import fields as X
+from glosswork.operators import legal as L
 from glosswork.operators import schema as S
 from glosswork.operators import semantic as M
 from glosswork.plans.evaluation import _turns
@@ -140,3 +141,27 @@ def sealed_records(t):
     rows = t.orders.select("o_orderkey", F.struct(marks.alias("marks"), F.col("o_custkey").alias("id")).alias("buyer"), F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").cast("double").alias("price"))
     kept = sealed(rows, sets=["buyer.marks"])
     return kept.select("o_orderkey", "record_sha256", seal_holds(kept, sets=["buyer.marks"]).alias("holds"))
+
+
+def _drafts(t):
+    """(cases, facts): answers as drafts; the sentences of prompt and answer as facts of two fields."""
+    cases = _turns(t).select(F.concat_ws("-", "conv_id", "turn").alias("case"), "prompt", "answer")
+
+    def sentences(column, field):
+        return F.transform(E.answer_claims(F.col(column)), lambda v, i: F.struct(F.lit(field).alias("field"), i.cast("string").alias("index"), v.alias("value")))
+
+    listed = [sentences("prompt", "objeto"), sentences("answer", "normas_citadas")]
+    facts = cases.select("case", F.inline(F.concat(*listed)))
+    return cases, facts.withColumn("critical", F.col("field") == "objeto")
+
+
+@query("e07_legal_gate")
+def legal_gate(t):
+    cases, facts = _drafts(t)
+    return L.legal_gate(cases, facts, "case", "prompt", "answer", noise=["poder ejecutivo"])
+
+
+@query("e08_factual_fidelity")
+def factual_fidelity(t):
+    cases, facts = _drafts(t)
+    return L.factual_fidelity(cases, facts, "case", "prompt", "answer", noise=["poder ejecutivo"])

@@ -14,9 +14,11 @@ def gold_join(t):
     return C.gold_join(t.documents.select("doc_id"), t.labels, ["doc_id"], [F.desc("quality"), F.desc("toxic")]).select("doc_id", "quality", "reason")
 
 
-@query("j05_expected_range", "SELECT n AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'MISSING' ELSE 'PRESENT' END AS status FROM range(0, 500) r(n) LEFT JOIN labels l ON l.doc_id = n")
+@query("j05_expected_range", "SELECT n AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'MISSING' ELSE 'PRESENT' END AS status FROM range(0, (SELECT max(doc_id) + 1 FROM documents)) r(n) LEFT JOIN labels l ON l.doc_id = n")
 def expected_range(t):
-    return R.expected_range(t.labels, "doc_id", 0, 499)
+    """Every number up to the last document's, with or without labels."""
+    last = t.documents.agg(F.max("doc_id")).first()[0]
+    return R.expected_range(t.labels, "doc_id", 0, -1 if last is None else last)
 
 
 @query("j06_verified_join", """

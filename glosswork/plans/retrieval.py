@@ -50,11 +50,9 @@ def ties_and_minimum(t):
 
 @query("j09_vector_expression", _PAIRS + "SELECT query_id, count(*) AS n, round(max(score), 6) AS best FROM r WHERE score >= 0.1 GROUP BY query_id")
 def vector_expression(t):
-    """Similarity as a column expression: the query set against all rows."""
-    asked = t.embeddings.where(_EVERY).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = t.embeddings.join(asked, F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", V.cosine(F.col("q"), F.col("embedding")).alias("s")).where("s >= 0.1")
-    return scored.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("s"), 6).alias("best"))
+    """The query set against all rows in blocks: pairs above a similarity."""
+    asked = t.embeddings.where(_EVERY).select(F.col("vec_id").alias("query_id"), "embedding")
+    return V.above(asked, t.embeddings, 0.1).select("query_id", "n", F.round("best", 6).alias("best"))
 
 
 @query("p07_vector_valid", "SELECT count(*) AS n, count(*) FILTER (len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))) AS n_valid FROM embeddings")
@@ -226,8 +224,13 @@ def violations(t):
 def rag_retrieval(t):
     """Search, diversity, citation and budget in one: the context of each query."""
     selected = _diverse(t).where("disposition = 'SELECTED'")
-    blocks = selected.withColumn("bytes", F.lit(400) + F.col("vec_id") % 97).withColumn("tokens", F.ceil(F.col("bytes") / 4))
-    packed = V.budget_pack(blocks, "query_id", "rank", 2048, 600)
+    # A hit's text is the document of its number; one without a text has an empty block.
+    texts = t.documents.groupBy(F.col("doc_id").alias("vec_id")).agg(F.max("text").alias("text"))
+    with_text = selected.join(texts, "vec_id", "left")
+    name, none = F.col("vec_id").cast("string"), F.lit(None).cast("string")
+    block = V.evidence_block(V.citation(F.col("context_rank")), F.concat(F.lit("Document "), name), name, none, none, none, F.coalesce("text", F.lit("")))
+    blocks = with_text.withColumn("bytes", F.octet_length(block)).withColumn("tokens", V.token_estimate(block))
+    packed = V.budget_pack(blocks, "query_id", "rank", 16_384, 4096)
     return selected.join(packed, "query_id").where(F.array_contains("picked", F.col("rank").cast("long"))).select("query_id", "vec_id", "rank", V.citation(F.col("context_rank")).alias("citation"))
 
 
