@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glosswork.functions import decrees as D
+from glosswork.functions import identity as ID
 from glosswork.functions import nested as N
 from glosswork.functions.canonical import seal_holds, sealed
 from glosswork.operators import evaluation as E
 from glosswork.operators import fields as X
+from glosswork.operators import inventory as I
 from glosswork.operators import legal as L
 from glosswork.operators import schema as S
 from glosswork.operators import semantic as M
@@ -16,6 +18,7 @@ from glosswork.plans.evaluation import _turns
 from glosswork.plans.registry import query
 from glosswork.session import scratch
 from glosswork.sources import cases as K
+from glosswork.sources import files
 
 #: Fields that any text may have: mail addresses, numbers of four digits or more, dotted numbers.
 TEXT_FIELDS = {"mail": "[a-z0-9._-]+@[a-z0-9.-]+", "number": "[0-9]{4,}", "dotted": "[0-9]+[.][0-9]+[.][0-9]+"}
@@ -165,3 +168,80 @@ def legal_gate(t):
 def factual_fidelity(t):
     cases, facts = _drafts(t)
     return L.factual_fidelity(cases, facts, "case", "prompt", "answer", noise=["poder ejecutivo"])
+
+
+@query("e16_e12_run_inventory", """
+WITH m AS (SELECT o_orderkey AS c, o_orderstatus AS d FROM orders WHERE o_orderkey % 11 <> 0),
+p AS (SELECT l_linenumber AS run, l_orderkey AS c, count(*) AS copies, count(*) FILTER (l_quantity > 10) AS passed, list(DISTINCT l_linestatus) AS ds FROM lineitem GROUP BY ALL),
+s AS (SELECT run, count(*) FILTER (m.c IS NOT NULL) AS present, count(*) FILTER (m.c IS NULL) AS unexpected, count(*) FILTER (copies > 1) AS duplicates,
+  count(*) FILTER (m.c IS NOT NULL AND len(list_filter(ds, lambda x: x <> m.d)) > 0) AS mismatched, count(*) FILTER (passed = 0) AS failed, count(*) FILTER (passed > 0) AS passed FROM p LEFT JOIN m ON m.c = p.c GROUP BY run),
+r AS (SELECT run, n AS reported_total, CASE WHEN run % 2 = 0 THEN ok ELSE ok - 1 END AS reported_passed FROM (SELECT l_linenumber AS run, count(DISTINCT l_orderkey) AS n, count(DISTINCT CASE WHEN l_quantity > 10 THEN l_orderkey END) AS ok FROM lineitem WHERE l_linenumber <> 3 GROUP BY 1)),
+j AS (SELECT s.*, (SELECT count(*) FROM m) AS expected, r.reported_total, r.reported_passed FROM s LEFT JOIN r USING (run))
+SELECT run, expected, present, expected - present AS missing, unexpected, duplicates, mismatched, failed, passed, reported_total, reported_passed,
+  CASE WHEN unexpected + mismatched + duplicates > 0 THEN 'INVALID' WHEN expected > present THEN 'PARTIAL' ELSE 'FULL' END AS integrity,
+  concat_ws(',', CASE WHEN unexpected > 0 THEN 'UNEXPECTED_CASES=' || unexpected END, CASE WHEN mismatched > 0 THEN 'DIGEST_MISMATCH=' || mismatched END, CASE WHEN duplicates > 0 THEN 'DUPLICATE_CASES=' || duplicates END,
+    CASE WHEN reported_passed <> passed THEN 'REPORT_DISAGREES=' || abs(reported_passed - passed) END, CASE WHEN expected > present THEN 'MISSING_CASES=' || (expected - present) END,
+    CASE WHEN failed > 0 THEN 'FAILED_CASES=' || failed END, CASE WHEN reported_total IS NULL THEN 'NOT_REPORTED=1' END) AS findings FROM j""")
+def run_inventory(t):
+    """Runs (line numbers) against the manifest of orders and their own reports."""
+    cases = t.lineitem.select(F.col("l_linenumber").alias("run"), F.col("l_orderkey").alias("case"), F.col("l_linestatus").alias("digest"), (F.col("l_quantity") > 10).alias("passed"))
+    manifest = t.orders.where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("case"), F.col("o_orderstatus").alias("digest"))
+    counted = cases.where("run <> 3").groupBy("run").agg(F.count_distinct("case").alias("total"), F.count_distinct(F.when(F.col("passed"), F.col("case"))).alias("ok"))
+    reported = counted.select("run", "total", F.when(F.col("run") % 2 == 0, F.col("ok")).otherwise(F.col("ok") - 1).alias("passed"))
+    rows = I.run_inventory(cases, manifest, reported)
+    said = F.array_join(F.transform("findings", lambda f: F.concat(f["code"], F.lit("="), f["n"].cast("string"))), ",")
+    return rows.drop("worst").withColumn("findings", said)
+
+
+@query("s15_checked_manifest", """
+WITH d AS (SELECT doc_id, sha256(text) AS h FROM documents), n AS (SELECT h, count(*) AS n FROM d GROUP BY h)
+SELECT 'case-' || doc_id AS case_id, CASE WHEN n > 1 THEN 'CASE_INVALID' WHEN doc_id % 17 = 1 THEN 'PATH_INVALID' WHEN doc_id % 13 = 2 THEN 'FILE_MISSING' WHEN doc_id % 7 = 3 THEN 'HASH_MISMATCH' ELSE 'OK' END AS code FROM d JOIN n USING (h)""")
+def checked_manifest(t):
+    """A manifest of all documents against what is stored; some paths climb, some files are gone or changed."""
+    k = F.col("doc_id")
+    name = F.concat(F.when(k % 17 == 1, "../").otherwise("cases/"), k.cast("string"), F.lit(".txt"))
+    digest = F.sha2("text", 256)
+    cases = t.documents.select(F.concat(F.lit("case-"), k.cast("string")).alias("case_id"), name.alias("relative_path"), digest.alias("sha256"), k.cast("string").alias("external_id"), F.expr("cast(array() as array<string>)").alias("expected"))
+    files = t.documents.where("doc_id % 13 <> 2").select(name.alias("path"), F.when(k % 7 == 3, F.reverse(digest)).otherwise(digest).alias("sha256"))
+    header = {"split": "HELD_OUT", "dataset_version": "1", "source": "documents"}
+    return I.checked_manifest(header, cases, files, "HELD_OUT").select("case_id", "code")
+
+
+@query("s03_merged_documents", """
+SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN 'CORPUS_JSON_SCHEMA_INVALID' WHEN doc_id % 7 = 2 THEN 'CORPUS_SOURCE_IDENTIFIER_INVALID' WHEN trim(text, ' ') = '' THEN 'CORPUS_JSON_SCHEMA_INVALID' END AS error,
+       CASE WHEN doc_id % 5 <> 1 AND doc_id % 7 <> 2 AND trim(text, ' ') <> '' THEN sha256(text) END AS digest, CASE WHEN doc_id % 5 <> 1 AND doc_id % 7 <> 2 AND trim(text, ' ') <> '' THEN '"d' || doc_id || '"' END AS external_id FROM documents""")
+def merged_documents(t):
+    """Documents as JSON; some name themselves otherwise in their metadata, some by a path that climbs."""
+    k = F.col("doc_id").cast("string")
+    inner = F.struct(F.when(F.col("doc_id") % 5 == 1, F.concat(F.lit("other-"), k)).when(F.col("doc_id") % 5 == 0, F.concat(F.lit("d"), k)).alias("external_id"), F.col("lang").alias("lang"))
+    path = F.concat(F.when(F.col("doc_id") % 7 == 2, "../").otherwise("a//"), k)
+    text = F.to_json(F.struct(F.col("text").alias("content"), inner.alias("metadata"), F.concat(F.lit("d"), k).alias("external_id"), path.alias("source_identifier")))
+    rows = t.documents.select("doc_id", I.merged_document(text, files.safe_identifier).alias("m"))
+    return rows.select("doc_id", "m.error", F.sha2("m.content", 256).alias("digest"), F.try_element_at("m.metadata", F.lit("external_id")).alias("external_id"))
+
+
+@query("j17_aged_orphans", """
+WITH f AS (SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'tmp-' ELSE 'f-' END || o_orderkey AS path, o_orderdate AS day FROM orders WHERE o_orderkey % 3 <> 0),
+k AS (SELECT DISTINCT 'f-' || l_orderkey AS path FROM lineitem WHERE l_linenumber = 2), n AS (SELECT max(o_orderdate) AS now FROM orders)
+SELECT path, CASE WHEN day + INTERVAL 365 DAY > now THEN 'RECENT' WHEN path LIKE 'tmp-%' THEN 'TEMPORARY' ELSE 'ORPHAN' END AS finding FROM f, n WHERE path NOT IN (SELECT path FROM k)
+UNION ALL SELECT path, 'MISSING' FROM k WHERE path NOT IN (SELECT path FROM f)""")
+def aged_orphans(t):
+    k = F.col("o_orderkey").cast("string")
+    found = t.orders.where("o_orderkey % 3 <> 0").select(F.concat(F.when(F.col("o_orderkey") % 7 == 0, "tmp-").otherwise("f-"), k).alias("path"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    known = t.lineitem.where("l_linenumber = 2").select(F.concat(F.lit("f-"), F.col("l_orderkey").cast("string")).alias("path")).distinct()
+    now = F.lit(t.orders.agg(F.max(F.col("o_orderdate").cast("timestamp"))).first()[0])
+    return I.aged_orphans(found, known, "path", "at", now, F.expr("interval 365 days"))
+
+
+@query("n09_identity_forms", r"""
+WITH d AS (SELECT doc_id, regexp_extract(text, '[0-9]{2}[- ]?[0-9]{8}[- ]?[0-9]') AS tax, regexp_extract(text, '\+[0-9][0-9 ()-]+[0-9]') AS ph, regexp_extract(text, '[A-Za-z0-9._-]+@[A-Za-z0-9.-]+') AS mail, regexp_extract(text, '[A-Z]{0,2}[0-9]{6,9}') AS num FROM documents)
+SELECT doc_id, CASE WHEN tax <> '' THEN replace(replace(tax, '-', ''), ' ', '') END AS tax, replace(ph, ' ', '') AS phone, lower(mail) AS mail,
+       CASE WHEN num = '' THEN NULL WHEN doc_id % 2 = 0 AND NOT regexp_matches(num, '^[0-9]+$') THEN NULL ELSE num END AS number FROM d""")
+def identity_forms(t):
+    """The first identifier of each kind in a text, normalised."""
+    first = lambda p: F.regexp_extract("text", p, 0)
+    kind = F.when(F.col("doc_id") % 2 == 0, "DNI").otherwise("PASSPORT")
+    return t.documents.select(
+        "doc_id", ID.tax_number(first(r"[0-9]{2}[- ]?[0-9]{8}[- ]?[0-9]")).alias("tax"), ID.phone(first(r"\+[0-9][0-9 ()-]+[0-9]")).alias("phone"),
+        ID.email(first(r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+")).alias("mail"), ID.document_number(kind, first("[A-Z]{0,2}[0-9]{6,9}")).alias("number"),
+    )
