@@ -35,7 +35,12 @@ FIELDS = {
     "expediente": [r"(?iU)\bexpediente\s*(?:n(?:ro\.?|[°ºo])?\s*)?([a-z0-9][a-z0-9:/._-]{2,})"],
     "referencias": [r"(?iU)\b(?:art[ií]culo|art\.?)\s*([0-9]{1,5})(?:\s*[,;]?\s*(?:inciso|apartado)\s*([a-z0-9]{1,4}))?"],
 }
-UNITS = {"day": "dia dias day days", "week": "semana semanas week weeks", "month": "mes meses month months", "year": "ano anos year years"}
+UNITS = {
+    "day": ("dia", "dias", "day", "days"),
+    "week": ("semana", "semanas", "week", "weeks"),
+    "month": ("mes", "meses", "month", "months"),
+    "year": ("ano", "anos", "year", "years"),
+}
 NUMBERS = {
     "cero": 0, "uno": 1, "una": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9, "diez": 10,
     "once": 11, "doce": 12, "trece": 13, "catorce": 14, "quince": 15, "dieciseis": 16, "diecisiete": 17, "dieciocho": 18, "diecinueve": 19,
@@ -169,7 +174,7 @@ def canonical_term(value: Column) -> Column:
     """amount:unit of the first term; the number in brackets wins, words count; null if either is unknown."""
     pattern = FIELDS["plazo"][0]
     numbers = F.create_map(*(F.lit(x) for word, n in NUMBERS.items() for x in (word, str(n))))
-    units = F.create_map(*(F.lit(x) for unit, words in UNITS.items() for word in words.split() for x in (word, unit)))
+    units = F.create_map(*(F.lit(x) for unit, words in UNITS.items() for word in words for x in (word, unit)))
     shown, bracket = F.regexp_extract(value, pattern, 1), F.regexp_extract(value, pattern, 2)
     said = F.when(bracket != "", bracket).otherwise(shown)
     amount = F.coalesce(F.try_element_at(numbers, comparison_form(said)), F.when(said.rlike(r"^\d+$"), _whole(said)))

@@ -136,9 +136,10 @@ def claim_match(field: Column, index: Column, value: Column, candidate: Column)
 
 # Words that do not count when a fact is sought in a draft.
 FACT_STOPWORDS = (
-    "a al ante con contra de del desde durante e el en entre es esta este la las lo los para por que se su sus un una y o u como "
-    "dicho dicha presente medida mismo misma segun decreto articulo articulos art nro nros numero numeros"
-).split()
+    "a", "al", "ante", "con", "contra", "de", "del", "desde", "durante", "e", "el", "en", "entre", "es", "esta", "este", "la", "las", "lo", "los", "para", "por", "que",
+    "se", "su", "sus", "un", "una", "y", "o", "u", "como", "dicho", "dicha", "presente", "medida", "mismo", "misma", "segun", "decreto", "articulo", "articulos", "art",
+    "nro", "nros", "numero", "numeros",
+)
 
 
 def reference_coverage(cases: DataFrame, case: str, reference: str, draft: str, threshold: float = 0.65) -> DataFrame:
