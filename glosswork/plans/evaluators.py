@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from glosswork.functions import decrees as D
 from glosswork.functions import identity as ID
 from glosswork.functions import nested as N
+from glosswork.functions import text as T
 from glosswork.functions.canonical import seal_holds, sealed
 from glosswork.operators import evaluation as E
 from glosswork.operators import fields as X
@@ -245,3 +246,40 @@ def identity_forms(t):
         "doc_id", ID.tax_number(first(r"[0-9]{2}[- ]?[0-9]{8}[- ]?[0-9]")).alias("tax"), ID.phone(first(r"\+[0-9][0-9 ()-]+[0-9]")).alias("phone"),
         ID.email(first(r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+")).alias("mail"), ID.document_number(kind, first("[A-Z]{0,2}[0-9]{6,9}")).alias("number"),
     )
+
+
+@query("e02_entities")
+def entities(t):
+    """The entities of an answer against those of its prompt, as sets."""
+    keys = lambda c: F.array_distinct(F.transform(T.entities(F.col(c)), lambda x: x["key"]))
+    rows = _turns(t).select("conv_id", "turn", keys("prompt").alias("gold"), keys("answer").alias("found"))
+    s = E.set_scores(F.col("found"), F.col("gold"))
+    return rows.select("conv_id", "turn", *(s[c].alias(c) for c in s), E.status(s["f1"], F.size("gold") > 0).alias("status"))
+
+
+@query("e06_structure_report", """
+WITH c AS (SELECT event_type, json_valid(props) AS ok, CASE WHEN json_valid(props) THEN props END AS p FROM events),
+k AS (SELECT event_type, ok, p, CASE WHEN ok THEN json_type(p, '$.k') END AS kind, CASE WHEN ok THEN json_extract_string(p, '$.k') END AS v FROM c)
+SELECT event_type, count(*) AS n, round(avg(CAST(coalesce(ok, false) AS DOUBLE)), 9) AS parse_rate,
+  round(avg(CAST(coalesce(kind IN ('BIGINT', 'UBIGINT') AND len(json_keys(p)) = 1 AND TRY_CAST(v AS BIGINT) BETWEEN 0 AND 5, false) AS DOUBLE)), 9) AS valid_rate,
+  round(avg(CAST(coalesce(trim(v) <> '', false) AS DOUBLE)), 9) AS completeness FROM k GROUP BY event_type""")
+def structure_report(t):
+    """How many outputs parse, fit the compiled schema and fill the paths they must."""
+    wrong = S.violations(EVENT_SCHEMA, F.col("props"))
+    rows = t.events.select("event_type", E.json_kind(F.col("props")).isNotNull().alias("ok"), F.coalesce(wrong == 0, F.lit(False)).alias("fits"), E.required_paths(F.col("props"), ["$.k"]).alias("filled"))
+    rate = lambda c: F.round(F.avg(F.col(c).cast("double")), 9)
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), rate("ok").alias("parse_rate"), rate("fits").alias("valid_rate"), rate("filled").alias("completeness"))
+
+
+@query("e15_case_report")
+def case_report(t):
+    """All measures of each case beside each other; what can't be computed stays null with its status."""
+    cases, facts = _drafts(t)
+    key = F.concat_ws("-", "conv_id", "turn").alias("case")
+    gate = L.legal_gate(cases, facts, "case", "prompt", "answer").select("case", "legal_pass", F.col("recall").alias("atomic_recall"), "unsupported")
+    fidelity = L.factual_fidelity(cases, facts, "case", "prompt", "answer").select(F.col("case").alias("_f"), "fidelity", F.col("f1").alias("material_f1"))
+    rows = _contexts(t).select("conv_id", "turn", E.answer_claims(F.col("answer")).alias("claims"), N.evidence()("context").alias("evidence"))
+    faith = M.faithfulness(rows, ["conv_id", "turn"], "claims", "evidence").select(key.alias("_g"), "faithfulness", "groundedness", F.col("status").alias("faithfulness_status"))
+    near = M.bert_score(_turns(t), ["conv_id", "turn"], "answer", "prompt").select(key.alias("_b"), F.col("f1").alias("bert_f1"), F.col("status").alias("bert_status"))
+    met = gate.join(fidelity, F.col("case") == F.col("_f"), "left").join(faith, F.col("case") == F.col("_g"), "left").join(near, F.col("case") == F.col("_b"), "left")
+    return met.drop("_f", "_g", "_b")

@@ -23,7 +23,7 @@ def session(master: str = "local[*]", partitions: int = 8, memory: str = "8g") -
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder of spark.checkpoint.dir, which driver and executors share.
+    """A fresh path in the folder of spark.checkpoint.dir, which driver and executors share, removed when the driver ends.
 
     Where none is set, a temporary folder is if the session runs in one process;
     on a cluster executors couldn't read it, so that is an error.
@@ -34,7 +34,10 @@ def scratch(spark: SparkSession, label: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         base = "file://" + tempfile.mkdtemp(prefix="glosswork-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
