@@ -99,6 +99,7 @@ def multiset_recall(expected: Column, candidate: Column) -> Column:
 def factual_fidelity(cases: DataFrame, facts: DataFrame, case: str, prompt: str, draft: str, noise: Sequence[str] = ()) -> DataFrame:
     """Per case: fidelity, applicable_fields, reference_claims, candidate_claims, tp, fp, fn, precision, recall, f1.
 
+    Means are rounded to twelve digits, so that they do not depend on the order of rows.
     A disclosed fact scores by its words and, where it names material claims, by
     those; a field is the mean of its facts, fidelity the mean of the fields.
     Claims of all disclosed facts are compared with the draft's as sets.
@@ -111,8 +112,8 @@ def factual_fidelity(cases: DataFrame, facts: DataFrame, case: str, prompt: str,
     met = met.withColumn("claims", claims)
     claim_recall = F.try_divide(F.size(F.array_intersect("claims", "_said")).cast("double"), F.size("claims"))
     met = met.withColumn("score", E.fact_score(multiset_recall(long_words(F.col("value")), F.col("_words")), claim_recall))
-    fields = met.groupBy("_c", "field").agg(F.avg("score").alias("score"), _union(F.collect_set("claims")).alias("claims"))
-    sums = fields.groupBy("_c").agg(F.avg("score").alias("fidelity"), F.count("*").alias("applicable_fields"), _union(F.collect_set("claims")).alias("_gold"))
+    fields = met.groupBy("_c", "field").agg(F.round(F.avg("score"), 12).alias("score"), _union(F.collect_set("claims")).alias("claims"))
+    sums = fields.groupBy("_c").agg(F.round(F.avg("score"), 12).alias("fidelity"), F.count("*").alias("applicable_fields"), _union(F.collect_set("claims")).alias("_gold"))
     rows = words.select(case, "_said").join(sums, F.col(case) == F.col("_c"), "left")
     rows = rows.withColumn("_gold", F.coalesce("_gold", F.expr("cast(array() as array<string>)")))
     s = E.set_scores(F.col("_said"), F.col("_gold"))

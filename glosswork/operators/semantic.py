@@ -58,7 +58,7 @@ def faithfulness(cases: DataFrame, key: Sequence[str], claims: str, evidence: st
     pairs = said.join(found, on).select(*key, "_n", strategy(F.col("_claim"), F.col("_evidence")).alias("_score"))
     best = pairs.groupBy(*key, "_n").agg(F.max(coerced(pairs, "_score")).alias("_best"))
     lost = F.collect_list(F.when(F.col("_best") < threshold, F.col("_n")))
-    sums = best.groupBy(*(F.col(k).alias(f"_e_{k}") for k in key)).agg(F.count_if(F.col("_best") >= threshold).alias("_supported"), F.avg("_best").alias("_mean"), F.array_sort(lost).alias("_lost"))
+    sums = best.groupBy(*(F.col(k).alias(f"_e_{k}") for k in key)).agg(F.count_if(F.col("_best") >= threshold).alias("_supported"), F.round(F.avg("_best"), 12).alias("_mean"), F.array_sort(lost).alias("_lost"))
     met = rows.join(sums, on, "left")
     total = F.size("_claims")
     empty = F.coalesce(F.size(evidence), F.lit(0)) <= 0
