@@ -31,13 +31,13 @@ class FieldSpec:
 
     normalise: from the array of values to the array that is compared, null if
     they can't be read. valid: of one value, before that. comparator: weight of a
-    gold and a predicted value, 0 for no match; equality by default.
+    gold and a predicted value, 0 for no match; None for equality.
     """
 
     name: str
     normalise: Callable[[Column], Column] = lambda values: values
     valid: Callable[[Column], Column] | None = None
-    comparator: Callable[[Column, Column], Column] = lambda gold, guess: (gold == guess).cast("double")
+    comparator: Callable[[Column, Column], Column] | None = None
     aliases: Sequence[str] = field(default_factory=tuple)
 
     def of(self, fields: Column) -> tuple[Column, Column]:
@@ -50,34 +50,48 @@ class FieldSpec:
         return F.coalesce(given, F.lit(False)), value
 
 
-def matched(gold: Column, predicted: Column, comparator: Callable[[Column, Column], Column]) -> Column:
+def _result(gold: Column, predicted: Column, tp: Column, weight: Column, alike: Column) -> Column:
+    n, m = F.size(gold), F.size(predicted)
+    p, r = F.try_divide(weight, m), F.try_divide(weight, n)
+    f1 = F.when(p + r > 0, 2 * p * r / (p + r))
+    return F.struct(tp.alias("tp"), (m - tp).alias("fp"), (n - tp).alias("fn"), p.alias("precision"), r.alias("recall"), f1.alias("f1"), ((n == m) & (tp == n) & alike).alias("exact"))
+
+
+def _same(gold: Column, predicted: Column) -> Column:
+    """How many gold values have an equal prediction of their own."""
+    times = lambda a, v: F.size(F.filter(a, lambda x: x == v))
+    once = (F.size(F.array_distinct(gold)) == F.size(gold)) | (F.size(F.array_distinct(predicted)) == F.size(predicted))
+    repeated = F.aggregate(F.array_intersect(gold, predicted), F.lit(0), lambda s, v: s + F.least(times(gold, v), times(predicted, v)))
+    return F.when(once, F.size(F.array_intersect(gold, predicted))).otherwise(repeated)
+
+
+def matched(gold: Column, predicted: Column, comparator: Callable[[Column, Column], Column] | None = None) -> Column:
     """struct(tp, fp, fn, precision, recall, f1, exact): each gold value in order takes the
     free prediction of the greatest weight, of equal ones the first.
 
     Precision and recall share the summed weights; a ratio without a base is
     null. exact: both have as many values, all are matched, and values at equal
-    places have weight 1.
+    places have weight 1. Without a comparator equal values match, which needs no
+    search.
     """
-    start = F.struct(F.expr("cast(array() as array<int>)").alias("taken"), F.lit(0.0).alias("weight"))
+    if comparator is None:
+        return let(_same(gold, predicted), lambda tp: _result(gold, predicted, tp, tp.cast("double"), gold == predicted))
+    places = F.when(F.size(predicted) > 0, F.sequence(F.lit(0), F.size(predicted) - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    start = F.struct(places.alias("free"), F.lit(0.0).alias("weight"))
 
     def step(state, value):
         # A struct's order is that of its fields: the greatest weight, then the least place.
-        scored = F.transform(predicted, lambda p, i: F.struct(F.when(F.array_contains(state["taken"], i), 0.0).otherwise(F.coalesce(comparator(value, p), F.lit(0.0))).alias("w"), (-i).alias("place")))
-        best = F.array_max(scored)
-        took = F.struct(F.array_append(state["taken"], -best["place"]).alias("taken"), (state["weight"] + best["w"]).alias("weight"))
-        return F.when(best["w"] > 0, took).otherwise(state)
+        scored = F.transform(state["free"], lambda i: F.struct(F.coalesce(comparator(value, F.get(predicted, i)), F.lit(0.0)).alias("w"), (-i).alias("place")))
 
-    pairs = F.zip_with(gold, predicted, lambda g, p: comparator(g, p) == 1.0)
-    n, m = F.size(gold), F.size(predicted)
+        def taken(best):
+            took = F.struct(F.array_remove(state["free"], -best["place"]).alias("free"), (state["weight"] + best["w"]).alias("weight"))
+            return F.when(best["w"] > 0, took).otherwise(state)
 
-    def result(end):
-        tp = F.size(end["taken"])
-        p, r = F.try_divide(end["weight"], m), F.try_divide(end["weight"], n)
-        exact = (n == m) & (tp == n) & F.forall(pairs, lambda x: F.coalesce(x, F.lit(False)))
-        f1 = F.when(p + r > 0, 2 * p * r / (p + r))
-        return F.struct(tp.alias("tp"), (m - tp).alias("fp"), (n - tp).alias("fn"), p.alias("precision"), r.alias("recall"), f1.alias("f1"), exact.alias("exact"))
+        return let(F.array_max(scored), taken)
 
-    return let(F.aggregate(gold, start, step), result)
+    pairs = F.zip_with(gold, predicted, lambda g, p: comparator(g, p) == 1.0)
+    alike = F.forall(pairs, lambda x: F.coalesce(x, F.lit(False)))
+    return let(F.aggregate(gold, start, step), lambda end: _result(gold, predicted, F.size(predicted) - F.size(end["free"]), end["weight"], alike))
 
 
 def _marker(values: Column) -> Column:
@@ -137,7 +151,7 @@ def score_field(spec: FieldSpec, gold: Column, predicted: Column) -> Column:
                 *(keep(c) for c in ("tp", "fp", "fn", "precision", "recall", "f1", "exact")),
             )
 
-        return let(matched(s["g"], s["p"], spec.comparator), out)
+        return let(F.when(s["status"] == "SCORED", matched(s["g"], s["p"], spec.comparator)), out)
 
     parts = F.struct(g.alias("g"), p.alias("p"), _marker(g).alias("gm"), _marker(p).alias("pm"), read(g).alias("gn"), read(p).alias("pn"))
     return let(parts, judged)

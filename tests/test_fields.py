@@ -38,7 +38,7 @@ def test_matched_equals_loop(spark):
     some = lambda: ["".join(rng.choice("ab") for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(6))]
     rows = [(i, some(), some()) for i in range(400)] + [(900, ["a", "ab"], ["a", "ab"]), (901, ["a", "ab"], ["ab", "a"]), (902, [], []), (903, ["a"], []), (904, [], ["a"])]
     df = spark.createDataFrame(rows, "i int, g array<string>, p array<string>")
-    for column, plain in ((near_column, near), (lambda g, p: (g == p).cast("double"), lambda g, p: float(g == p))):
+    for column, plain in ((near_column, near), (lambda g, p: (g == p).cast("double"), lambda g, p: float(g == p)), (None, lambda g, p: float(g == p))):
         got = {r.i: tuple(r.m) for r in df.select("i", X.matched(F.col("g"), F.col("p"), column).alias("m")).collect()}
         for i, g, p in rows:
             want = loop(g, p, plain)
