@@ -153,8 +153,11 @@ def score_field(spec: FieldSpec, gold: Column, predicted: Column) -> Column:
 
         return let(F.when(s["status"] == "SCORED", matched(s["g"], s["p"], spec.comparator)), out)
 
-    parts = F.struct(g.alias("g"), p.alias("p"), _marker(g).alias("gm"), _marker(p).alias("pm"), read(g).alias("gn"), read(p).alias("pn"))
-    return let(parts, judged)
+    def parts(v):
+        g, p = v["g"], v["p"]
+        return let(F.struct(g.alias("g"), p.alias("p"), _marker(g).alias("gm"), _marker(p).alias("pm"), read(g).alias("gn"), read(p).alias("pn")), judged)
+
+    return let(F.struct(g.alias("g"), p.alias("p")), parts)
 
 
 def score_fields(cases: DataFrame, key: Sequence[str], gold: str, predicted: str, specs: Sequence[FieldSpec]) -> DataFrame:
@@ -163,7 +166,9 @@ def score_fields(cases: DataFrame, key: Sequence[str], gold: str, predicted: str
     coverage: readable predictions of the calculable fields; accuracy: mean over
     these fields, conditional over the readable ones. Ratios without a base are null.
     """
-    scored = F.array(*(score_field(s, F.col(gold), F.col(predicted)) for s in specs))
+    # Both maps are bound once: a plain name stands for its whole expression where the optimizer merges selections.
+    both = F.struct(F.col(gold).alias("gold"), F.col(predicted).alias("predicted"))
+    scored = let(both, lambda x: F.array(*(score_field(s, x["gold"], x["predicted"]) for s in specs)))
     rows = cases.select(*key, scored.alias("fields"))
     of = lambda *status: F.filter("fields", lambda x: x["status"].isin(*status))
     counted, valid = of("CORRECT", "PARTIAL", "INCORRECT", "MISSING", "INVALID"), of("CORRECT", "PARTIAL", "INCORRECT")
